@@ -120,7 +120,9 @@ def file_badges(files: DataFrame, findings: DataFrame) -> DataFrame:
         F.substring_index("filename", "/", -1).alias("base_name"),
         F.coalesce("findings", F.lit(0)).alias("findings"),
         # an unknown severity shows as the lowest
-        severity_name(F.least(F.col("__best"), F.lit(len(SEVERITIES) - 1))).alias("highest"),
+        F.when(
+            F.col("__best").isNotNull(), severity_name(F.least(F.col("__best"), F.lit(len(SEVERITIES) - 1)))
+        ).alias("highest"),
     )
 
 
