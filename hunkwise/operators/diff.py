@@ -9,55 +9,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.functions.text import split_lines, strip, unify_breaks, without_last_break
+from hunkwise.functions.text import strip, unify_breaks, with_lines, without_last_break
 from hunkwise.model import HUNK_LINE_CAP, READER_LINE_LIMIT, columns_besides
 
 # The two header lines of a unified diff.
-FILE_HEADER = r"^diff --git a/(.+?) b/(.+?)$"
-HUNK_HEADER = r"(?U)^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@(.*)"
+FILE_HEADER = r"(?md)^diff --git a/(.+?) b/(.+?)$"
+HUNK_HEADER = (
+    r"(?mdU)^@@[^\S\n]+-(\d+)(?:,(\d+))?[^\S\n]+\+(\d+)(?:,(\d+))?[^\S\n]+@@(.*)$"
+)
 
-# The same headers as places to cut a whole text at.
-_FILE_CUT = r"(?md)^(?=diff --git a/.+? b/.+?$)"
-_HUNK_CUT = r"(?mdU)^(?=@@[^\S\n]+-\d+(?:,\d+)?[^\S\n]+\+\d+(?:,\d+)?[^\S\n]+@@)"
-_FILE_TOP = r"(?md)\Adiff --git a/.+? b/.+?$"
+# Once every line break is a newline these characters are free to mark places.
+_FILE, _HUNK, _PART = "\r", "\x0b", "\x0c"
 
 
-def _number(text: Column, group: int) -> Column:
-    return F.regexp_extract(text, HUNK_HEADER, group).try_cast("long")
-
-
-def _count(text: Column, group: int) -> Column:
-    found = F.regexp_extract(text, HUNK_HEADER, group)
+def _count(found: Column) -> Column:
     return F.when(found == "", F.lit(1).cast("long")).otherwise(found.try_cast("long"))
 
 
-def _hunk(text: Column, cap: int) -> Column:
-    top = F.substring_index(text, "\n", 1)
-    return F.struct(
-        _number(top, 1).alias("old_start"),
-        _count(top, 2).alias("old_count"),
-        _number(top, 3).alias("new_start"),
-        _count(top, 4).alias("new_count"),
-        strip(F.regexp_extract(top, HUNK_HEADER, 5)).alias("header"),
-        F.slice(F.split(without_last_break(text), "\n"), 2, cap).alias("lines"),
-    )
+def _hunk(lines: Column, cap: int) -> Column:
+    top = F.split(F.get(lines, 0), _PART)
+    return F.transform(
+        F.array(F.struct(top.alias("g"), F.slice(lines, 2, cap).alias("lines"))),
+        lambda h: F.struct(
+            h["g"][0].try_cast("long").alias("old_start"),
+            _count(h["g"][1]).alias("old_count"),
+            h["g"][2].try_cast("long").alias("new_start"),
+            _count(h["g"][3]).alias("new_count"),
+            strip(h["g"][4]).alias("header"),
+            h["lines"].alias("lines"),
+        ),
+    )[0]
 
 
 def _file(parts: Column, cap: int) -> Column:
+    """A file from its header lines (first) and the lines of its hunks."""
     head = F.get(parts, 0)
-    top = F.substring_index(head, "\n", 1)
-    old, new = (F.regexp_extract(top, FILE_HEADER, i) for i in (1, 2))
-    with_lines = F.filter(
-        F.slice(parts, 2, 1 << 30),
-        lambda h: (F.instr(h, "\n") > 0) & (F.instr(h, "\n") < F.length(h)),
-    )
+    names = F.split(F.get(head, 0), _PART)
+    old, new = names[0], names[1]
+    top = F.concat(F.lit("diff --git a/"), old, F.lit(" b/"), new)
+    rest = F.slice(head, 2, 1 << 30)
     return F.struct(
         new.alias("filename"),
         F.nullif(old, new).alias("old_filename"),
-        head.contains("new file mode").alias("is_new"),
-        head.contains("deleted file mode").alias("is_deleted"),
-        without_last_break(head).alias("raw_header"),
-        F.transform(with_lines, lambda h: _hunk(h, cap)).alias("hunks"),
+        (top.contains("new file mode") | F.exists(rest, lambda l: l.contains("new file mode"))).alias("is_new"),
+        (top.contains("deleted file mode") | F.exists(rest, lambda l: l.contains("deleted file mode"))).alias(
+            "is_deleted"
+        ),
+        F.concat_ws("\n", top, rest).alias("raw_header"),
+        F.transform(F.slice(parts, 2, 1 << 30), lambda h: _hunk(h, cap)).alias("hunks"),
     )
 
 
@@ -66,11 +65,24 @@ def parse_files(diffs: DataFrame, cap: int = HUNK_LINE_CAP, raw: str = "raw") ->
 
     Text before the first file header is dropped, a hunk without lines and a file
     without hunks vanish, and each hunk keeps its first ``cap`` lines.
+
+    Two pattern passes over the text mark the headers and cut them into their parts;
+    all else is splitting at single characters.
     """
-    sections = F.filter(F.split(unify_breaks(F.col(raw)), _FILE_CUT), lambda s: s.rlike(_FILE_TOP))
-    parts = F.transform(sections, lambda s: F.split(s, _HUNK_CUT))
-    files = F.filter(F.transform(parts, lambda p: _file(p, cap)), lambda f: F.size(f["hunks"]) > 0)
     keep = columns_besides(diffs, raw)
+    marked = F.regexp_replace(
+        F.regexp_replace(unify_breaks(F.col(raw)), HUNK_HEADER, _HUNK + _PART.join(f"${i}" for i in range(1, 6))),
+        FILE_HEADER,
+        f"{_FILE}$1{_PART}$2",
+    )
+    sections = F.slice(F.split(marked, _FILE), 2, 1 << 30)
+    parts = F.transform(
+        sections,
+        lambda s: F.transform(F.split(s, _HUNK), lambda p: F.split(without_last_break(p), "\n")),
+    )
+    # the header comes first and always has its own line
+    solid = F.transform(parts, lambda p: F.filter(p, lambda part, i: (i == 0) | (F.size(part) > 1)))
+    files = F.transform(F.filter(solid, lambda p: F.size(p) > 1), lambda p: _file(p, cap))
     return diffs.select(*keep, F.posexplode(files).alias("file_no", "f")).select(*keep, "file_no", "f.*")
 
 
@@ -89,21 +101,17 @@ def parse_diff(diffs: DataFrame, cap: int = HUNK_LINE_CAP) -> DataFrame:
 
 def lines_as_added(files: DataFrame, source: str = "source") -> DataFrame:
     """Each file as one hunk in which every line is added, starting at line 1."""
-    lines = F.transform(split_lines(F.col(source)), lambda l: F.concat(F.lit("+"), l))
     keep = columns_besides(files, source)
-    return (
-        files.select(*keep, lines.alias("lines"))
-        .where(F.size("lines") > 0)
-        .select(
-            *keep,
-            F.lit(0).alias("hunk_no"),
-            F.lit(0).cast("long").alias("old_start"),
-            F.lit(0).cast("long").alias("old_count"),
-            F.lit(1).cast("long").alias("new_start"),
-            F.size("lines").cast("long").alias("new_count"),
-            F.lit("").alias("header"),
-            "lines",
-        )
+    lines = with_lines(files.where(F.octet_length(source) > 0), source, keep)
+    return lines.select(
+        *keep,
+        F.lit(0).alias("hunk_no"),
+        F.lit(0).cast("long").alias("old_start"),
+        F.lit(0).cast("long").alias("old_count"),
+        F.lit(1).cast("long").alias("new_start"),
+        F.size("lines").cast("long").alias("new_count"),
+        F.lit("").alias("header"),
+        F.transform("lines", lambda l: F.concat(F.lit("+"), l)).alias("lines"),
     )
 
 

@@ -169,7 +169,7 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
     or a sure item whose texts are no strings voids the whole submission.
     """
     typed = f"""transform(
-        try_variant_get(try_parse_json(payload), '$.findings', 'array<variant>'),
+        raw,
         x -> struct(
             schema_of_variant(x) AS item_kind,
             {_kind("confidence")} AS confidence_kind,
@@ -199,10 +199,21 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
             | (sure & (no_text(x["explanation_kind"]) | no_text(x["fix_kind"])))
         )
 
+    # parsed, typed and exploded step by step, so that nothing is evaluated twice
+    raw = submissions.select(
+        "review_id",
+        "file_no",
+        "file",
+        F.expr("try_variant_get(try_parse_json(payload), '$.findings', 'array<variant>')").alias("raw"),
+    )
     items = (
-        submissions.select("review_id", "file_no", "file", F.expr(typed).alias("items"))
-        .where(~F.exists("items", voids))
-        .select("review_id", "file_no", "file", F.posexplode("items").alias("at", "i"))
+        raw.select("review_id", "file_no", "file", F.expr(typed).alias("items"))
+        .select(
+            "review_id",
+            "file_no",
+            "file",
+            F.posexplode(F.when(~F.exists("items", voids), F.col("items"))).alias("at", "i"),
+        )
         .select("review_id", "file_no", "file", "at", "i.*", F.col("file").alias("own_file"))
     )
     whole = [F.col(c) == F.floor(c) for c in ("line_start", "line_end")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,16 +79,16 @@ def vectorize_text(df: DataFrame, text: str, idf: list[float]) -> DataFrame:
     """
     dimensions = len(idf)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def weigh(buckets: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def weigh(buckets: pa.Array) -> pa.Array:
         import numpy as np
 
-        table, out = np.asarray(idf), []
-        for own in buckets:
-            v = np.bincount(np.asarray(own, dtype=np.int64), minlength=dimensions) * table
-            length = np.sqrt((v * v).sum())
-            out.append(v / length if length > 0 else v)
-        return pd.Series(out)
+        rows, n = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy()), len(buckets)
+        at = rows * dimensions + buckets.flatten().to_numpy()
+        v = np.bincount(at, minlength=n * dimensions).reshape(n, dimensions) * np.asarray(idf)
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+        return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dimensions, v.ravel())
 
     return df.withColumn("vector", weigh(bucket_list(F.col(text), dimensions)))
 
@@ -114,12 +114,18 @@ def _best(k: int):
     return pick
 
 
-def _unit_rows(vectors):
-    import numpy as np
+def _unit_rows():
+    """A function that makes unit-length rows of an Arrow list column; it travels with its task."""
 
-    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    def unit(vectors):
+        import numpy as np
+
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        m = m.reshape(len(vectors), -1) if len(vectors) else m.reshape(0, 1)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    return unit
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -157,26 +163,27 @@ def top_k_similar(
 
 
 def _broadcast_search(table, chunks: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    pick, unit = _best(k), _unit_rows
-    shared = chunks.sparkSession.sparkContext.broadcast(table.to_pandas())
+    pick, unit = _best(k), _unit_rows()
+    ids = table.column("query_id").to_numpy()
+    shared = chunks.sparkSession.sparkContext.broadcast(
+        (ids, unit(table.column("vector").combine_chunks()) if len(ids) else None)
+    )
 
     def run(batches: Iterator) -> Iterator:
-        asked = shared.value
-        if len(asked) == 0:
-            return
-        ids, matrix = asked["query_id"].to_numpy(), unit(asked["vector"])
-        for pdf in batches:
-            if len(pdf):
-                q, c, s = pick(ids, matrix, pdf["chunk_id"].to_numpy(), unit(pdf["vector"]))
-                yield pd.DataFrame({"query_id": q, "chunk_id": c, "score": s})
+        ids, matrix = shared.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                chunk_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                found = pick(ids, matrix, chunk_ids, unit(batch.column("vector")))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "chunk_id", "score"])
 
-    return chunks.select("chunk_id", "vector").mapInPandas(run, out)
+    return chunks.select("chunk_id", "vector").mapInArrow(run, out)
 
 
 def _tiled_search(
     queries: DataFrame, chunks: DataFrame, k: int, by: list[str], out: T.StructType
 ) -> DataFrame:
-    pick, unit = _best(k), _unit_rows
+    pick, unit_rows = _best(k), _unit_rows()
 
     def tiles(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
@@ -195,20 +202,62 @@ def _tiled_search(
             F.pmod(F.xxhash64(id_), F.col(own)).cast("int").alias(own_tile),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_tile),
             id_,
-            "vector",
+            F.col("vector").cast("array<double>").alias("vector"),
         )
 
-    unit_key = [*by, "__qt", "__ct"]
-    left = spread(queries, "query_id", "__nq", "__nc", "__qt", "__ct")
-    right = spread(chunks, "chunk_id", "__nc", "__nq", "__ct", "__qt")
+    unit = [*by, "__qt", "__ct"]
+    asked = spread(queries, "query_id", "__nq", "__nc", "__qt", "__ct")
+    held = spread(chunks, "chunk_id", "__nc", "__nq", "__ct", "__qt")
 
-    def run(q, c):
-        if not len(q) or not len(c):
-            return pd.DataFrame({n: [] for n in ("query_id", "chunk_id", "score")})
-        found = pick(q["query_id"].to_numpy(), unit(q["vector"]), c["chunk_id"].to_numpy(), unit(c["vector"]))
-        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), found)))
+    def solve(parts):
+        """Parts of one unit, chunks before queries."""
+        import numpy as np
+        table = pa.Table.from_batches(parts).combine_chunks()
+        side = table.column("query_id").is_valid().to_numpy()
+        cut = int(np.searchsorted(side, True))
+        if cut == 0 or cut == len(side):
+            return None
+        matrix = unit_rows(table.column("vector").chunk(0))
+        found = pick(
+            table.column("query_id").slice(cut).to_numpy(),
+            matrix[cut:],
+            table.column("chunk_id").slice(0, cut).to_numpy(),
+            matrix[:cut],
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "chunk_id", "score"])
 
-    return left.groupBy(*unit_key).cogroup(right.groupBy(*unit_key)).applyInPandas(run, out)
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        current, parts = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            columns = [batch.column(c) for c in unit]
+            step = np.zeros(n - 1, dtype=bool)
+            for c in columns:
+                step |= np.diff(c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)) != 0
+            edges = [0, *(np.flatnonzero(step) + 1).tolist(), n]
+            for lo, hi in zip(edges, edges[1:]):
+                here = tuple(c[lo].as_py() for c in columns)
+                if here != current and parts:
+                    solved = solve(parts)
+                    if solved is not None:
+                        yield solved
+                    parts = []
+                current = here
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            solved = solve(parts)
+            if solved is not None:
+                yield solved
+
+    return (
+        held.unionByName(asked, allowMissingColumns=True)
+        .repartition(*unit)
+        .sortWithinPartitions(*unit, F.asc_nulls_first("query_id"))
+        .mapInArrow(run, out)
+    )
 
 
 def query_texts(files: DataFrame) -> DataFrame:

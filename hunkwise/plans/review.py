@@ -7,19 +7,22 @@ from pyspark.sql import DataFrame
 from hunkwise.model import HUNK_LINE_CAP
 from hunkwise.operators.diff import hunks_of, lines_as_added, parse_files
 from hunkwise.operators.evaluate import eval_metrics, match_labels
-from hunkwise.operators.findings import dedupe_findings, merge_findings, rank_findings
+from hunkwise.operators.findings import dedupe_findings, merge_findings
 from hunkwise.operators.scan import confidence_gate, run_rules
 
 
 def review_changes(
     diffs: DataFrame, submissions: DataFrame | None = None, cap: int = HUNK_LINE_CAP
 ) -> tuple[DataFrame, DataFrame]:
-    """Diffs, and what an agent handed in, to (files, ranked findings)."""
+    """Diffs, and what an agent handed in, to (files, findings without duplicates).
+
+    Counts and badges need no order; ``rank_findings`` adds it where a report does.
+    """
     files = parse_files(diffs, cap)
     parts = [run_rules(hunks_of(files))]
     if submissions is not None:
         parts.append(confidence_gate(submissions))
-    return files, rank_findings(dedupe_findings(merge_findings(*parts)))
+    return files, dedupe_findings(merge_findings(*parts))
 
 
 def evaluate_rules(files: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
