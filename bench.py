@@ -20,7 +20,7 @@ HEADLINE = (
     "parse_diff number_lines run_rules run_rules_diffs scan_secrets redact_typed confidence_gate dedupe_findings "
     "rank_findings attach_findings severity_rollup file_badges report_payload match_labels eval_total acceptance_rate "
     "rate_limit usage_ledger empty_rate_monitor turn_budget chunk_blocks upsert_chunks tfidf_top_terms top_k_similar "
-    "text_search retrieve_context assemble_case dependents stream_rules stream_rate_limit"
+    "text_search retrieve_context dependents stream_rules stream_rate_limit"
 ).split()
 
 

@@ -408,7 +408,7 @@ def history_docs(spark, d):
 
 @query
 def tfidf_top_terms(spark, d):
-    docs = tables.read_table(spark, d, "documents")
+    docs = S.spread_out(tables.read_table(spark, d, "documents").select("doc_id", "text"))
     return search.top_terms(search.term_weights(docs, "doc_id", "text"), "doc_id").select(
         "doc_id", "rank", "term", "weight"
     )
