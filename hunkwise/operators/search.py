@@ -94,9 +94,9 @@ def vectorize_text(df: DataFrame, text: str, idf: list[float]) -> DataFrame:
 
 
 def _best(k: int):
-    """Best ``k`` chunks per query of one tile; equal scores go to the lower id."""
+    """Best ``k`` chunks per query of one tile, as positions; equal scores go to the lower id."""
 
-    def pick(query_ids, queries, chunk_ids, chunks):
+    def pick(queries, chunk_ids, chunks):
         import numpy as np
 
         scores = np.round(queries @ chunks.T, SCORE_DIGITS) + 0.0
@@ -109,7 +109,7 @@ def _best(k: int):
         starts = np.flatnonzero(np.r_[True, np.diff(q_at) != 0])
         place = np.arange(len(q_at)) - np.repeat(starts, np.diff(np.r_[starts, len(q_at)]))
         keep = place < k_here
-        return query_ids[q_at[keep]], chunk_ids[c_at[keep]], value[keep]
+        return q_at[keep], c_at[keep], value[keep]
 
     return pick
 
@@ -133,57 +133,83 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return (
         found.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "chunk_id", "score")
+        .select("query_id", "rank", "chunk_id", "score", *columns_besides(found, "query_id", "chunk_id", "score"))
     )
 
 
 def top_k_similar(
-    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, by: list[str] | None = None
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = TOP_K,
+    by: list[str] | None = None,
+    of_query: tuple[str, ...] = (),
+    of_chunk: tuple[str, ...] = (),
 ) -> DataFrame:
     """The ``k`` nearest chunks of each query by cosine: (query_id, rank, chunk_id, score).
 
     ``queries`` has query_id and vector, ``chunks`` chunk_id and vector; ``by`` names
-    columns that both must share. Exact: matrix products over tiles, each of which
-    gives only its own best ``k`` per query. Few queries are broadcast, behind a
-    count; otherwise both sides are cut into tiles of bounded size within each group
-    of ``by``, however large the group, and every pair of tiles is one unit of work.
+    columns that both must share. ``of_query`` and ``of_chunk`` name further columns
+    that come along, which spares joining them again. Exact: matrix products over
+    tiles, each of which gives only its own best ``k`` per query. Few queries are
+    broadcast, behind a count; otherwise both sides are cut into tiles of bounded size
+    within each group of ``by``, however large the group, and every pair of tiles is
+    one unit of work.
     """
+    q_names, c_names = ["query_id", *of_query], ["chunk_id", *of_chunk]
     out = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            *[T.StructField(n, queries.schema[n].dataType) for n in q_names],
+            *[T.StructField(n, chunks.schema[n].dataType) for n in c_names],
             T.StructField("score", T.DoubleType()),
         ]
     )
     if not by:
-        some = queries.select("query_id", "vector").limit(BROADCAST_QUERIES + 1).toArrow()
+        some = queries.select(*q_names, "vector").limit(BROADCAST_QUERIES + 1).toArrow()
         if some.num_rows <= BROADCAST_QUERIES:
-            return _rank(_broadcast_search(some, chunks, k, out), k)
-    return _rank(_tiled_search(queries, chunks, k, by or [], out), k)
+            return _rank(_broadcast_search(some, chunks, k, q_names, c_names, out), k)
+    return _rank(_tiled_search(queries, chunks, k, by or [], q_names, c_names, out), k)
 
 
-def _broadcast_search(table, chunks: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    pick, unit = _best(k), _unit_rows()
-    ids = table.column("query_id").to_numpy()
-    shared = chunks.sparkSession.sparkContext.broadcast(
-        (ids, unit(table.column("vector").combine_chunks()) if len(ids) else None)
-    )
+def _hits():
+    """A function that puts the columns of found pairs together."""
+
+    def hits(asked, q_names, q_at, held, c_names, c_at, score):
+        columns = [asked.column(n).take(pa.array(q_at)) for n in q_names]
+        columns += [held.column(n).take(pa.array(c_at)) for n in c_names]
+        flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([*flat, pa.array(score)], names=[*q_names, *c_names, "score"])
+
+    return hits
+
+
+def _broadcast_search(
+    table, chunks: DataFrame, k: int, q_names: list[str], c_names: list[str], out: T.StructType
+) -> DataFrame:
+    pick, unit, hits = _best(k), _unit_rows(), _hits()
+    matrix = unit(table.column("vector").combine_chunks()) if table.num_rows else None
+    shared = chunks.sparkSession.sparkContext.broadcast((table.select(q_names).combine_chunks(), matrix))
 
     def run(batches: Iterator) -> Iterator:
-        ids, matrix = shared.value
+        asked, matrix = shared.value
         for batch in batches:
-            if batch.num_rows and len(ids):
+            if batch.num_rows and asked.num_rows:
                 chunk_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                found = pick(ids, matrix, chunk_ids, unit(batch.column("vector")))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "chunk_id", "score"])
+                q_at, c_at, score = pick(matrix, chunk_ids, unit(batch.column("vector")))
+                yield hits(asked, q_names, q_at, batch, c_names, c_at, score)
 
-    return chunks.select("chunk_id", "vector").mapInArrow(run, out)
+    return chunks.select(*c_names, "vector").mapInArrow(run, out)
 
 
 def _tiled_search(
-    queries: DataFrame, chunks: DataFrame, k: int, by: list[str], out: T.StructType
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    by: list[str],
+    q_names: list[str],
+    c_names: list[str],
+    out: T.StructType,
 ) -> DataFrame:
-    pick, unit_rows = _best(k), _unit_rows()
+    pick, unit_rows, hits = _best(k), _unit_rows(), _hits()
 
     def tiles(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
@@ -191,43 +217,41 @@ def _tiled_search(
     q_tiles, c_tiles = tiles(queries, QUERY_TILE, "__nq"), tiles(chunks, CHUNK_TILE, "__nc")
     plan = q_tiles.join(c_tiles, by) if by else None
 
-    def spread(df: DataFrame, id_: str, own: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
-        sized = df.select(*by, id_, "vector")
+    def spread(df: DataFrame, names: list[str], own: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
+        sized = df.select(*by, *names, "vector")
         if by:
             sized = sized.join(plan, by)
         else:
             sized = sized.withColumns({"__nq": q_tiles.scalar(), "__nc": c_tiles.scalar()})
         return sized.select(
             *by,
-            F.pmod(F.xxhash64(id_), F.col(own)).cast("int").alias(own_tile),
+            F.pmod(F.xxhash64(names[0]), F.col(own)).cast("int").alias(own_tile),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_tile),
-            id_,
+            *names,
             F.col("vector").cast("array<double>").alias("vector"),
         )
 
     unit = [*by, "__qt", "__ct"]
-    asked = spread(queries, "query_id", "__nq", "__nc", "__qt", "__ct")
-    held = spread(chunks, "chunk_id", "__nc", "__nq", "__ct", "__qt")
+    asked = spread(queries, q_names, "__nq", "__nc", "__qt", "__ct")
+    held = spread(chunks, c_names, "__nc", "__nq", "__ct", "__qt")
 
     def solve(parts):
         """Parts of one unit, chunks before queries."""
         import numpy as np
+
         table = pa.Table.from_batches(parts).combine_chunks()
         side = table.column("query_id").is_valid().to_numpy()
         cut = int(np.searchsorted(side, True))
         if cut == 0 or cut == len(side):
             return None
         matrix = unit_rows(table.column("vector").chunk(0))
-        found = pick(
-            table.column("query_id").slice(cut).to_numpy(),
-            matrix[cut:],
-            table.column("chunk_id").slice(0, cut).to_numpy(),
-            matrix[:cut],
-        )
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "chunk_id", "score"])
+        held, asked = table.slice(0, cut), table.slice(cut)
+        q_at, c_at, score = pick(matrix[cut:], held.column("chunk_id").to_numpy(), matrix[:cut])
+        return hits(asked, q_names, q_at, held, c_names, c_at, score)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
+
         current, parts = None, []
         for batch in batches:
             n = batch.num_rows
@@ -287,15 +311,18 @@ def retrieve_context(
     ``queries`` has query_id, file and vector; ``chunks`` has chunk_id, file, content
     and vector. Own chunks leave after the best ``k`` are taken, so fewer may remain.
     """
-    hits = top_k_similar(queries, chunks, k, by)
-    texts = chunks.select("chunk_id", F.col("file").alias("chunk_file"), "content")
-    own = queries.select("query_id", "file")
+    hits = top_k_similar(
+        queries.withColumnRenamed("file", "query_file"),
+        chunks.withColumnRenamed("file", "chunk_file"),
+        k,
+        by,
+        of_query=("query_file",),
+        of_chunk=("chunk_file", "content"),
+    )
     shown = F.round(F.col("score").cast("decimal(9,6)"), 2).cast("string")
     part = F.format_string("--- %s (similarity: %s) ---\n%s\n", "chunk_file", shown, "content")
     return (
-        hits.join(texts, "chunk_id")
-        .join(own, "query_id")
-        .where(F.col("chunk_file") != F.col("file"))
+        hits.where(F.col("chunk_file") != F.col("query_file"))
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
         .select("query_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n").alias("context"))
