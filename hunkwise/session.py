@@ -29,11 +29,14 @@ def local_session(cores: str | int = "*", app: str = "hunkwise", partitions: int
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster shares between executors.
 
-    The root is ``spark.checkpoint.dir``. Only where that is unset, as on a
-    single machine, a temporary folder is made and recorded in the session.
+    The root is ``spark.checkpoint.dir``. Only on a single machine may it be unset;
+    then a temporary folder is made and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
