@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, line_dedup, packing, quality_rules, sharding
+from hunkwise.llm import chat, line_dedup, near_dedup, packing, quality_rules, sharding
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
@@ -22,6 +22,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_minhash_near_dedup(spark, d):
+    return near_dedup.duplicate_groups(load(spark, d, "documents"))
+
+
 @query
 def op6_line_dedup(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")

@@ -7,6 +7,31 @@ ORACLE: dict[str, str] = {}
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ORACLE["op2_minhash_near_dedup"] = f"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM words)
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT x.a, x.b FROM (
+        SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id <> q.doc_id
+        GROUP BY 1, 2
+    ) x JOIN sizes m ON m.doc_id = x.a JOIN sizes n ON n.doc_id = x.b
+    WHERE 100 * x.both >= 75 * (m.n + n.n - x.both)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), lowest AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN lowest l ON d.doc_id = l.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""
+
 ORACLE["op6_line_dedup"] = f"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
