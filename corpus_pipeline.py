@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import line_dedup, packing, quality_rules
+from hunkwise.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from hunkwise.llm.common import load, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,12 +35,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return recounted(line_dedup.drop_repeated_lines(docs).select(*docs.columns))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return decontaminate.remove_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in length buckets and token-budget batches."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near),
+    ("decontamination", decontaminated),
+    ("packing", pack),
+]
 
 #: Dynamic programming over a histogram and tiling have no SQL form.
 ORACLE_SQL: str | None = None

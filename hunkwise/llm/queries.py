@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, line_dedup, near_dedup, packing, quality_rules, sharding
+from hunkwise.llm import chat, decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
@@ -27,6 +27,19 @@ def op2_minhash_near_dedup(spark, d):
     return near_dedup.duplicate_groups(load(spark, d, "documents"))
 
 
+@query
+def op3_benchmark_decontamination(spark, d):
+    found = decontaminate.find_contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))
+    return found.select(
+        "doc_id",
+        "item_id",
+        "n_tokens",
+        "covered",
+        (F.col("covered") / F.col("n_tokens")).alias("coverage"),
+        F.size("tiles").alias("n_tiles"),
+    )
+
+
 @query
 def op6_line_dedup(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")
