@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding
+from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sharding
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
@@ -22,6 +22,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def fold_of(doc_id: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id is an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+@query
+def op1_lm_scoring(spark, d):
+    return lm_scoring.score_documents(load(spark, d, "documents"), fold_of("doc_id", 7) != 2)
+
+
 @query
 def op2_minhash_near_dedup(spark, d):
     return near_dedup.duplicate_groups(load(spark, d, "documents"))
