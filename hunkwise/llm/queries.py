@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sharding
+from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
@@ -50,6 +50,19 @@ def op3_benchmark_decontamination(spark, d):
     )
 
 
+@query
+def op5_quality_classifier(spark, d):
+    scored = quality_classifier.score_quality(
+        load(spark, d, "documents"), load(spark, d, "labels"), fold_of("doc_id", 4) != 2
+    )
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_line_dedup(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")
