@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding
+from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
@@ -50,6 +50,24 @@ def op3_benchmark_decontamination(spark, d):
     )
 
 
+@query
+def op4_pii(spark, d):
+    found = pii.find_personal_data(load(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        own = F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_quality_classifier(spark, d):
     scored = quality_classifier.score_quality(
