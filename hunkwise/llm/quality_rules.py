@@ -5,9 +5,9 @@ counts the documents of a host that hold each, takes lines above the host's limi
 and rejects documents of which too little is left.
 
 A group of copies shares all its lines without any of them being boilerplate; removing
-copies is for a deduplication. So documents are told apart by a fingerprint, the smallest
-hash of their word windows, which copies nearly always share: a line is above the
-limit only where at least half of the documents that hold it differ by fingerprint.
+copies is for a deduplication. So documents are told apart by two fingerprints, the smallest
+and the largest hash of their word windows, which copies mostly share: a line is above
+the limit only where a third of the documents that hold it differ by one of them.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class LineLimits:
 
     least: int = 20
     share: float = 0.002
-    distinct: float = 0.5
+    distinct: float = 0.35
     left: float = 0.2
 
 
@@ -45,7 +45,7 @@ def line_key(line: Column) -> Column:
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
-    """Add n_repeat_words and the fingerprint, from ``words``.
+    """Add n_repeat_words and the fingerprints, from ``words``.
 
     Window hashes are compared within one document only. Most documents repeat none,
     which a set tells; only others are sorted.
@@ -78,11 +78,16 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "n_repeat_words",
         F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
-    ).withColumn("print", F.coalesce(F.array_min("hashes"), F.xxhash64("words")))
+    ).withColumns(
+        {
+            "low": F.coalesce(F.array_min("hashes"), F.xxhash64("words")),
+            "high": F.coalesce(F.array_max("hashes"), F.xxhash64("words")),
+        }
+    )
 
 
 def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document with its base counts, its fingerprint and its lines as (key, characters)."""
+    """One row per document with its base counts, its fingerprints and its lines as (key, characters)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), body.alias("body"))
     rows = rows.withColumns({"words": words_of(F.col("body")), "parts": F.split("body", "\n")})
@@ -99,7 +104,8 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
-        "print",
+        "low",
+        "high",
         F.transform(
             "lines", lambda x: F.struct(line_key(x).alias("key"), F.length(F.trim(x, F.lit(BLANKS))).alias("chars"))
         ).alias("lines"),
@@ -121,7 +127,7 @@ def apply_rules(
         base_counts(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()), "rule-facts"
     )
     each = facts.select(
-        "host", "print", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")
+        "host", "low", "high", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")
     )
     hosts = facts.groupBy("host").agg(
         F.greatest(F.lit(float(limits.least)), F.count(F.lit(1)) * limits.share).alias("most")
@@ -131,20 +137,18 @@ def apply_rules(
         many.alias("m")
         .join(hosts.alias("h"), same((F.col("m.host"), F.col("h.host"))))
         .filter("n > most")
-        .select("m.host", "key", "n", "most"),
+        .select("m.host", "key", "n"),
         "rule-frequent",
     )
     on = lambda a, b: same((F.col(f"{a}.host"), F.col(f"{b}.host"))) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
     prints = (
         each.alias("e")
         .join(frequent.alias("f"), on("e", "f"))
-        .groupBy("f.host", "f.key", "n", "most", "print")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("host", "key", "n", "most")
-        .agg(F.count(F.lit(1)).alias("prints"))
+        .groupBy("f.host", "f.key", "n")
+        .agg(F.greatest(F.count_distinct("low"), F.count_distinct("high")).alias("prints"))
     )
     above = written(
-        prints.filter((F.col("prints") > F.col("most")) & (F.col("prints") >= F.col("n") * limits.distinct)).select("host", "key"),
+        prints.filter(F.col("prints") >= F.col("n") * limits.distinct).select("host", "key"),
         "rule-lines",
     )
     lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.key", "line.chars")
@@ -157,7 +161,7 @@ def apply_rules(
     all_chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     depleted = F.coalesce(all_chars - F.col("gone_chars") < all_chars * limits.left, F.lit(False))
     return facts.join(gone, "row", "left").select(
-        *[c for c in facts.columns if c not in ("row", "print", "lines")],
+        *[c for c in facts.columns if c not in ("row", "low", "high", "lines")],
         depleted.alias("depleted"),
         (~F.col("base_failed") & ~depleted).alias("kept"),
         F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
