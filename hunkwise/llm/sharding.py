@@ -5,7 +5,8 @@ round, linked documents move towards the shard where most of their neighbours ar
 far as the quotas allow, so that fewer links are cut. What moves is a cell: the
 documents of one text whose ids hash alike. A cell has a row, not its documents, and a
 text that a third of all documents hold is many cells, which move on their own.
-At the end the shards are levelled to equal counts, moving documents without links first.
+At the end the shards are levelled to equal counts, moving documents without links first,
+then those of texts too common for a shard.
 
 Law: ``rows``. Counts of any two shards differ by one at most.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from hunkwise.llm.common import written
 
 CELLS = 64  # cells of a text for each shard it may start in
+PARTS = 16  # a text of more documents than this part of a shard moves by cells
+SLACK = 0.05  # by how much a shard may be overfull while documents move
 LIKE = ["__hash", "__crc", "__size"]  # what equal texts share
 
 
@@ -26,7 +29,7 @@ def size_of(text: Column) -> Column:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 24, rounds: int = 4, block_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shards: int = 24, rounds: int = 6, block_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row of ``docs`` with its place.
 
@@ -51,7 +54,8 @@ def shard_documents(
     labelled = facts.alias("d").join(cells.alias("c"), [*LIKE, "__cell"], "left").select(
         "d.*",
         F.coalesce("c.__shard", F.pmod(F.col("d.__cell"), F.lit(shards))).alias("__label"),
-        F.col("c.__shard").isNull().cast("int").alias("__single"),
+        # Who must give way in the levelling: 0 last, 2 first.
+        F.when(F.col("c.__shard").isNull(), 2).when(F.col("c.__all") > total // shards // PARTS, 1).otherwise(0).alias("__class"),
     )
     return _level(written(labelled, "shard-labels"), shards, total, block_rows)
 
@@ -74,16 +78,20 @@ def _pick(values: list, index: Column) -> Column:
 
 
 def _propagate(cells: DataFrame, shards: int, rounds: int, quota: int) -> DataFrame:
-    """Move cells for some rounds. ``quota``: linked documents a shard may hold."""
+    """Move cells for some rounds. ``quota``: linked documents a shard may hold.
+
+    What wants to leave a shard makes room for what wants to come.
+    """
+    most = quota * (1 + SLACK)
     for turn in range(rounds):
         load = _by_shard(cells, "__shard", shards)
-        free = [max(0, quota - x) for x in load]
+        room = [max(0, int(quota * (1 + 2 * SLACK)) + 1 - x) for x in load]
         tie = F.pmod(F.xxhash64("__hash", "__shard"), F.lit(1 << 30))
         near = cells.groupBy(*LIKE, "__shard").agg(F.sum("__n").alias("__near")).withColumn(
             "__rank", F.struct("__near", tie.alias("__tie"), "__shard")
         )
         best = near.groupBy(*LIKE).agg(
-            F.max(F.when(_pick(free, F.col("__shard")) > 0, F.col("__rank"))).alias("__best"),
+            F.max(F.when(_pick(room, F.col("__shard")) > 0, F.col("__rank"))).alias("__best"),
         )
         wish = (
             cells.join(near.select(*LIKE, "__shard", "__rank"), [*LIKE, "__shard"])
@@ -97,9 +105,13 @@ def _propagate(cells: DataFrame, shards: int, rounds: int, quota: int) -> DataFr
         asked = _by_shard(wish, "__to", shards)
         if not any(asked):
             break
-        share = [int((1 << 30) * min(1.0, f / a)) if a else 0 for f, a in zip(free, asked, strict=True)]
+        leaving = _by_shard(wish.filter("__to is not null"), "__shard", shards)
+        share = [
+            int((1 << 30) * min(1.0, max(0.0, (most - x + out) / a))) if a else 0
+            for x, out, a in zip(load, leaving, asked, strict=True)
+        ]
         # A small group moves as one; a large one by its cells, or it would never fit.
-        whole = F.col("__all") * 16 <= _pick(free, F.col("__to"))
+        whole = F.col("__all") <= quota // PARTS
         coin = F.pmod(
             F.when(whole, F.xxhash64("__hash", F.lit(turn))).otherwise(F.xxhash64("__hash", "__cell", F.lit(turn))),
             F.lit(1 << 30),
@@ -115,10 +127,11 @@ def _level(rows: DataFrame, shards: int, total: int, block_rows: int) -> DataFra
     Rows are ranked by blocks, so that no shard is sorted in one task.
     """
     blocks = max(1, -(-total // (block_rows * shards)))
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__crc"), F.lit(blocks)).cast("int"))
-    spot = ["__label", "__single", "__block"]
+    mark = F.when(F.col("__class") == 0, F.xxhash64("__hash")).otherwise(F.xxhash64("doc_id", "__crc"))
+    rows = rows.withColumn("__block", F.pmod(mark, F.lit(blocks)).cast("int"))
+    spot = ["__label", "__class", "__block"]
     counts = rows.groupBy(*spot).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__label").orderBy("__single", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__label").orderBy("__class", "__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*spot, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*spot).orderBy("__hash", "__crc", "__size", "doc_id")
     ranked = rows.withColumn("__row", F.row_number().over(inside) - 1).join(offsets, spot).withColumn(
