@@ -7,8 +7,9 @@ full shingle sets. A pair at the limit of 0.75 misses all 64 bands about once in
 
 Exact copies are one node. A bucket is not expanded into its pairs: every node is first
 compared with one node of a bucket it is in (rounds of stars), linked nodes are contracted,
-and only what still lies in different components of one bucket is enumerated, filtered
-by signature, and confirmed. So all links between components are tested, few inside.
+and only what still lies in different components of one bucket is compared in full,
+inside the task that holds the bucket, or a pair of its blocks. Tasks give out links
+between components, never pairs, so rows stay in proportion to the buckets.
 """
 
 from __future__ import annotations
@@ -158,51 +159,104 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pairs_in_blocks(least: float):
-    """Rows sorted by (bucket, block pair): pairs of different components that may be similar.
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by (key, first, second), their first three columns: one list for each."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
-    A pair is given in the first band that it shares only.
+def _candidates(
+    key: int, sides: list[int], comps: list[int], sizes: list[int], keys: np.ndarray, marks: np.ndarray, least: float
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) that may be similar, of different components, the most alike first.
+
+    A pair belongs to the first band that it shares; in other buckets it is passed over.
     """
+    side, comp, size = np.array(sides), np.array(comps), np.array(sizes)
+    mine = (keys == key).any(axis=1)  # an id with several texts may be here with another one
+    if not mine.any():
+        return
+    band = int(np.flatnonzero(keys[mine.argmax()] == key)[0])
+    across = (side == 1).any()
+    for i in np.flatnonzero(mine & (side == 0)):
+        other = mine & ((side == 1) if across else (np.arange(len(side)) > i)) & (comp != comp[i])
+        other &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
+        js = np.flatnonzero(other)
+        like = (marks[js] == marks[i]).mean(axis=1)
+        js, like = js[like >= least], like[like >= least]
+        first = ~(keys[js, :band] == keys[i, :band]).any(axis=1)
+        if first.any():
+            yield int(i), js[first][np.argsort(-like[first], kind="stable")]
+
+
+def _needed(least: float):
+    """Rows (key, first, second, side, node, comp, n, bands, marks) -> those that some candidate pair needs."""
 
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        sides = np.array([r[6] for r in rows])
-        comps = np.array([r[2] for r in rows])
-        sizes = np.array([r[3] for r in rows])
-        keys = np.array([r[4] for r in rows], np.int64)
-        marks = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-        band = int(np.flatnonzero(keys[0] == rows[0][0])[0])
-        out = []
-        for i in np.flatnonzero(sides == 0):
-            other = (sides == 1) if (sides == 1).any() else (np.arange(len(rows)) > i)
-            other &= comps != comps[i]
-            other &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
-            js = np.flatnonzero(other)
-            if not len(js):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_blocks(batches):
+            if len({r[5] for r in rows}) == 1:
                 continue
-            js = js[(marks[js] == marks[i]).mean(axis=1) >= least]
-            js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
-            out += [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for j in js]
-        return out
+            columns = list(zip(*rows, strict=True))
+            keys = np.array(columns[7], np.int64)
+            marks = np.frombuffer(b"".join(columns[8]), np.uint8).reshape(len(rows), -1)
+            need = set()
+            for i, js in _candidates(rows[0][0], columns[3], columns[5], columns[6], keys, marks, least):
+                need |= {i, *js.tolist()}
+            if need:
+                kept = [rows[i][:6] for i in sorted(need)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*kept, strict=True), NEED.types, strict=True)], schema=NEED
+                )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        spot = None
+    return run
 
-        def give() -> pa.RecordBatch:
-            found = pairs(held) if held and len({r[2] for r in held}) > 1 else []
-            return pa.RecordBatch.from_pydict(
-                {"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())}
-            )
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            # key, node, comp, n, bands, marks, side, first, second
-            for row in zip(*columns, strict=True):
-                if (row[0], row[7], row[8]) != spot:
-                    yield give()
-                    held, spot = [], (row[0], row[7], row[8])
-                held.append(row)
-        yield give()
+NEED = pa.schema(
+    [
+        ("key", pa.int64()),
+        ("first", pa.int32()),
+        ("second", pa.int32()),
+        ("side", pa.int32()),
+        ("node", pa.int64()),
+        ("comp", pa.int64()),
+    ]
+)
+
+
+def _links_in_blocks(least: float):
+    """Rows (key, first, second, side, node, comp, shingles) -> confirmed links between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_blocks(batches):
+            _, _, _, sides, nodes, comps, bodies = zip(*rows, strict=True)
+            sets = [np.frombuffer(b, np.uint64) for b in bodies]
+            sig = signatures(sets)
+            group = {c: c for c in comps}
+
+            def root(c: int, group: dict = group) -> int:
+                while group[c] != c:
+                    group[c] = c = group[group[c]]
+                return c
+
+            found = []
+            near = _candidates(rows[0][0], sides, comps, [len(x) for x in sets], bands(sig), sig.astype(np.uint8), least)
+            for i, js in near:
+                for j in js.tolist():
+                    a, b = root(comps[i]), root(comps[j])
+                    if a != b and similar(sets[i], sets[j]):
+                        group[max(a, b)] = min(a, b)
+                        found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            if found:
+                yield pa.RecordBatch.from_pydict(
+                    {"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())}
+                )
 
     return run
 
@@ -273,6 +327,46 @@ def _contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _links_left(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
+    """All links (a, b) between components, found inside buckets; large ones are compared by pairs of blocks.
+
+    The first pass looks at signatures alone and says whose sets the second one needs.
+    """
+    held = buckets.join(comps, "node")
+    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    rows = (
+        held.join(mixed, "key", "left_semi")
+        .join(nodes.select("node", "bands", "marks"), "node")
+        .withColumn("blocks", F.ceil(F.col("size") / search.block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key",
+            F.least("own", "with").alias("first"),
+            F.greatest("own", "with").alias("second"),
+            F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
+            "node",
+            "comp",
+            "n",
+            "bands",
+            "marks",
+        )
+    )
+    spot = ["key", "first", "second"]
+    needed = (
+        rows.repartition(*spot)
+        .sortWithinPartitions(*spot)
+        .mapInArrow(_needed(search.estimate), "key bigint, first int, second int, side int, node bigint, comp bigint")
+    )
+    return (
+        needed.join(sets, "node")
+        .select(*spot, "side", "node", "comp", "shingles")
+        .repartition(*spot)
+        .sortWithinPartitions(*spot)
+        .mapInArrow(_links_in_blocks(search.estimate), "a bigint, b bigint")
+    )
+
+
 def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -341,37 +435,8 @@ def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "
             break
         comps = _contract(comps, links)
 
-    # What is left in different components of one bucket, by blocks.
-    held = buckets.join(comps, "node")
-    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    blocks = F.ceil(F.col("size") / search.block).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = (
-        held.join(mixed, "key", "left_semi")
-        .join(nodes.select("node", "bands", "marks"), "node")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key",
-            "node",
-            "comp",
-            "n",
-            "bands",
-            "marks",
-            F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
-            F.least("own", "with").alias("first"),
-            F.greatest("own", "with").alias("second"),
-        )
-    )
-    pairs = (
-        left.repartition("key", "first", "second")
-        .sortWithinPartitions("key", "first", "second")
-        .mapInArrow(_pairs_in_blocks(search.estimate), "a bigint, b bigint")
-        .filter("a < b")
-        .distinct()
-    )
-    links = written(_confirmed(written(pairs, "dedup-pairs"), sets, search.fan), "dedup-links")
+    # What is left in different components of one bucket.
+    links = written(_links_left(buckets, comps, nodes, sets, search), "dedup-links")
     comps = _contract(comps, links)
 
     by_kind = nodes.join(comps, "node", "left").select("kind", F.coalesce("comp", "node").alias("comp"))
