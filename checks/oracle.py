@@ -288,9 +288,8 @@ cte(
         {typed("coalesce(item->>'$.suggested_fix', '')")} AS suggested_fix,
         'agent' AS source, (item->>'$.confidence')::DOUBLE AS confidence,
         coalesce(item->>'$.reasoning_trace', '') AS reasoning_trace
-    FROM (SELECT *, bool_or(coalesce(json_type(item, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT'), false))
-            OVER (PARTITION BY k) AS void FROM item)
-    WHERE NOT void AND coalesce(try_cast(item->>'$.confidence' AS DOUBLE), 0.5) >= 0.7
+    FROM item
+    WHERE coalesce(json_type(item, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT'), true) AND coalesce(try_cast(item->>'$.confidence' AS DOUBLE), 0.5) >= 0.7
         AND item->>'$.severity' IN ('critical', 'high', 'medium', 'low')
         AND item->>'$.category' IN ('bug', 'security', 'style', 'performance')
         AND item->>'$.line_start' IS NOT NULL AND item->>'$.line_end' IS NOT NULL""",
@@ -772,16 +771,16 @@ oracle(
           FROM (SELECT *, {scores()} FROM (SELECT count(*) AS total_fixtures, sum(true_positives)::BIGINT AS true_positives,
               sum(false_positives)::BIGINT AS false_positives, sum(false_negatives)::BIGINT AS false_negatives FROM detail)))""",
 )
-# one label per document at line 1: the first finding within reach takes it
+# a document is flagged or not
 oracle(
     "label_eval",
     "doc_found",
     f"""SELECT *, round_even(precision_raw, 3) AS precision, round_even(recall_raw, 3) AS recall
     FROM (SELECT *, {scores()} FROM (
-        SELECT review_id, (toxic = 1 AND near > 0)::BIGINT AS true_positives,
-            (total - (toxic = 1 AND near > 0)::BIGINT)::BIGINT AS false_positives,
-            (toxic = 1 AND near = 0)::BIGINT AS false_negatives
-        FROM (SELECT doc_id AS review_id, toxic, count(line_start) AS total, count(*) FILTER (line_start <= 4) AS near
+        SELECT review_id, (toxic = 1 AND total > 0)::BIGINT AS true_positives,
+            (toxic <> 1 AND total > 0)::BIGINT AS false_positives,
+            (toxic = 1 AND total = 0)::BIGINT AS false_negatives
+        FROM (SELECT doc_id AS review_id, toxic, count(line_start) AS total
               FROM labels LEFT JOIN (SELECT * FROM doc_found WHERE fam = 0) f ON f.review_id = doc_id GROUP BY ALL)))""",
 )
 oracle(
@@ -854,11 +853,11 @@ oracle("chunk_keys", "doc_key", "SELECT diff_id, chunk_no, chunk_id FROM doc_key
 oracle(
     "upsert_chunks",
     "code_key",
-    """SELECT chunk_id, file, line_start, max(batch_no) AS batch_no FROM (
-        SELECT chunk_id, file, line_start, 1 AS batch_no FROM code_key
-        UNION ALL
-        SELECT substr(sha256(file || ':' || line_start || ':' || content || CASE WHEN diff_id % 2 = 0 THEN ' #' ELSE '' END), 1, 16),
-            file, line_start, 2 FROM code_key) GROUP BY ALL""",
+    """SELECT repo, substr(sha256(file || ':' || line_start || ':' || content), 1, 16) AS chunk_id, file, line_start,
+        max(batch_no) AS batch_no
+    FROM (SELECT repo, CASE WHEN diff_id % 3 = 0 THEN 'setup.py' ELSE file END AS file, line_start, batch_no,
+            content || CASE WHEN batch_no = 2 AND diff_id % 2 = 0 THEN ' #' ELSE '' END AS content
+          FROM code_key CROSS JOIN (VALUES (1), (2)) AS b(batch_no)) GROUP BY ALL""",
 )
 oracle(
     "history_docs",

@@ -62,13 +62,15 @@ class Family:
 
 
 # Words that start a database statement, and the four ways of
-# building one from parts, in the order in which they are tried.
+# building one from parts, in the order in which they are tried. Each asks for some
+# parts in order with anything between; a part that is found at its first place
+# leaves most for the next, so nothing is ever tried again and a line is read once.
 SQL_WORDS = r"\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|EXEC|EXECUTE|UNION)\b"
 SQL_PATTERNS = (
-    ("f-string SQL query", rf"""(?iU)f(?:"|').*{SQL_WORDS}.*\{{.*\}}"""),
-    (".format() SQL query", rf"""(?iU)(?:"|').*{SQL_WORDS}.*(?:"|')\s*\.format\("""),
-    ("%-formatted SQL query", rf"""(?iU)(?:"|').*{SQL_WORDS}.*%[sd].*(?:"|')\s*%\s*"""),
-    ("string concatenation in SQL query", rf"""(?iU)(?:"|').*{SQL_WORDS}.*(?:"|')\s*\+\s*"""),
+    ("f-string SQL query", rf"""(?iU)^(?>.*?f["'])(?>.*?{SQL_WORDS})(?>.*?\{{).*?\}}"""),
+    (".format() SQL query", rf"""(?iU)^(?>.*?["'])(?>.*?{SQL_WORDS}).*?["']\s*+\.format\("""),
+    ("%-formatted SQL query", rf"""(?iU)^(?>.*?["'])(?>.*?{SQL_WORDS})(?>.*?%[sd]).*?["']\s*+%"""),
+    ("string concatenation in SQL query", rf"""(?iU)^(?>.*?["'])(?>.*?{SQL_WORDS}).*?["']\s*+\+"""),
 )
 SQL_EXPLANATION = (
     "Potential SQL injection: {label}. User input may be interpolated directly into a SQL query."
@@ -89,7 +91,8 @@ SWALLOWED_FIX = (
     "Log the exception or re-raise it. Silently swallowing exceptions makes debugging very difficult."
 )
 
-# Our own table: the contract only says what must and must not be found.
+# The first five patterns are fixed values, as in REDACT_PLAIN below; the last is our
+# own, since the contract only says what must and must not be found.
 SECRET_PATTERNS = (
     ("AWS access key", r"AKIA[0-9A-Z]{16}"),
     ("GitHub token", r"ghp_[A-Za-z0-9]{36}"),

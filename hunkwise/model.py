@@ -11,7 +11,7 @@ SEVERITIES = ("critical", "high", "medium", "low")
 CATEGORIES = ("bug", "security", "style", "performance")
 SOURCES = ("rule", "agent", "llm")
 
-# Limits.
+# Limits. A client may ask for HUNK_LINE_CAP; nothing is cut by default.
 HUNK_LINE_CAP = 3000
 READER_LINE_LIMIT = 500
 CHUNK_LINES = 50

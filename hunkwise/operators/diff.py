@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import strip, unify_breaks, with_lines, without_last_break
-from hunkwise.model import HUNK_LINE_CAP, READER_LINE_LIMIT, columns_besides
+from hunkwise.model import READER_LINE_LIMIT, columns_besides
 
 # The two header lines of a unified diff.
 FILE_HEADER = r"(?md)^diff --git a/(.+?) b/(.+?)$"
@@ -26,10 +26,10 @@ def _count(found: Column) -> Column:
     return F.when(found == "", F.lit(1).cast("long")).otherwise(found.try_cast("long"))
 
 
-def _hunk(lines: Column, cap: int) -> Column:
+def _hunk(lines: Column, cap: int | None) -> Column:
     top = F.split(F.get(lines, 0), _PART)
     return F.transform(
-        F.array(F.struct(top.alias("g"), F.slice(lines, 2, cap).alias("lines"))),
+        F.array(F.struct(top.alias("g"), F.slice(lines, 2, cap or 1 << 30).alias("lines"))),
         lambda h: F.struct(
             h["g"][0].try_cast("long").alias("old_start"),
             _count(h["g"][1]).alias("old_count"),
@@ -41,7 +41,7 @@ def _hunk(lines: Column, cap: int) -> Column:
     )[0]
 
 
-def _file(parts: Column, cap: int) -> Column:
+def _file(parts: Column, cap: int | None) -> Column:
     """A file from its header lines (first) and the lines of its hunks."""
     head = F.get(parts, 0)
     names = F.split(F.get(head, 0), _PART)
@@ -60,11 +60,11 @@ def _file(parts: Column, cap: int) -> Column:
     )
 
 
-def parse_files(diffs: DataFrame, cap: int = HUNK_LINE_CAP, raw: str = "raw") -> DataFrame:
+def parse_files(diffs: DataFrame, cap: int | None = None, raw: str = "raw") -> DataFrame:
     """One row per file that has hunks; ``hunks`` nests them with their lines.
 
     Text before the first file header is dropped, a hunk without lines and a file
-    without hunks vanish, and each hunk keeps its first ``cap`` lines.
+    without hunks vanish. With ``cap``, each hunk keeps its first ``cap`` lines only.
 
     Two pattern passes over the text mark the headers and cut them into their parts;
     all else is splitting at single characters.
@@ -92,7 +92,7 @@ def hunks_of(files: DataFrame) -> DataFrame:
     return files.select(*keep, F.posexplode("hunks").alias("hunk_no", "h")).select(*keep, "hunk_no", "h.*")
 
 
-def parse_diff(diffs: DataFrame, cap: int = HUNK_LINE_CAP) -> DataFrame:
+def parse_diff(diffs: DataFrame, cap: int | None = None) -> DataFrame:
     """One row per diff line, with its file and hunk."""
     hunks = hunks_of(parse_files(diffs, cap).drop("raw_header"))
     keep = columns_besides(hunks, "lines")
@@ -119,31 +119,66 @@ def is_added(line: Column) -> Column:
     return line.startswith("+") & ~line.startswith("+++")
 
 
+NUMBER_BLOCK = 256
+
+
 def number_lines(hunks: DataFrame) -> DataFrame:
     """One row per diff line with the line numbers a reader sees.
 
-    The old number is null on ``+`` lines and the new one on ``-`` lines. A string
-    of first characters, one per line, is made once per hunk; what stands before
-    a line in it gives both counts.
+    The old number is null on ``+`` lines and the new one on ``-`` lines. First
+    characters are joined to short strings, one for each block of lines; the blocks
+    before a line, and what stands before it in its own, give both counts. A line
+    of a long hunk costs no more than one of a short hunk, and only numbers leave
+    the row with it.
     """
     keep = columns_besides(hunks, "lines")
-    marks = F.array_join(
-        F.transform(
-            "lines",
-            lambda l: F.when(l.startswith("-"), "-").when(l.startswith("+"), "+").otherwise(" "),
-        ),
-        "",
+    size = NUMBER_BLOCK
+    marks = F.transform("lines", lambda l: F.when(l.startswith("-"), "-").when(l.startswith("+"), "+").otherwise(" "))
+    starts = F.sequence(F.lit(0), F.floor(F.size("lines") / size).cast("int"))
+    blocked = hunks.select(*keep, "lines", marks.alias("__marks")).select(
+        *keep,
+        "lines",
+        F.transform(starts, lambda b: F.array_join(F.slice("__marks", b * size + 1, F.lit(size)), "")).alias("__blocks"),
+    )
+
+    def bare(text: Column, mark: str) -> Column:
+        return F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    def before(mark: str) -> Column:
+        """For each block, how many lines before it do not begin with ``mark``."""
+        counts = F.transform("__blocks", lambda s: bare(s, mark))
+        sums = F.aggregate(
+            counts,
+            F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("sum")),
+            lambda acc, n: F.struct(F.array_append(acc["all"], acc["sum"]).alias("all"), (acc["sum"] + n).alias("sum")),
+        )
+        return sums["all"]
+
+    counted = blocked.select("*", before("+").alias("__old"), before("-").alias("__new"))
+
+    def number(i: Column, at: str, mark: str) -> Column:
+        block = F.floor(i / size).cast("int")
+        inside = F.substring(F.get("__blocks", block), F.lit(1), i % size)
+        return F.get(at, block) + bare(inside, mark)
+
+    rows = counted.select(
+        *keep,
+        F.posexplode(
+            F.transform(
+                "lines",
+                lambda l, i: F.struct(
+                    l.alias("line"), number(i, "__old", "+").alias("old"), number(i, "__new", "-").alias("new")
+                ),
+            )
+        ).alias("line_no", "l"),
     )
-    rows = hunks.select(*keep, marks.alias("__marks"), F.posexplode("lines").alias("line_no", "line"))
-    before = F.substring(F.col("__marks"), F.lit(1), F.col("line_no"))
-    old = F.col("old_start") + F.length(F.replace(before, F.lit("+"), F.lit("")))
-    new = F.col("new_start") + F.length(F.replace(before, F.lit("-"), F.lit("")))
+    line = F.col("l.line")
     return rows.select(
         *keep,
         "line_no",
-        "line",
-        F.when(~F.col("line").startswith("+"), old).alias("old_line"),
-        F.when(~F.col("line").startswith("-"), new).alias("new_line"),
+        line.alias("line"),
+        F.when(~line.startswith("+"), F.col("old_start") + F.col("l.old")).alias("old_line"),
+        F.when(~line.startswith("-"), F.col("new_start") + F.col("l.new")).alias("new_line"),
     )
 
 

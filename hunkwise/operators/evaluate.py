@@ -48,7 +48,10 @@ def match_labels(
         fits = F.filter(
             state["left"], lambda l: F.abs(l["line"] - f["line"]) <= tolerance
         )
-        label = F.get(fits, 0)
+        # Bound as the element of an array, the label is looked up once for each finding.
+        return F.get(F.transform(F.array(F.get(fits, 0)), lambda label: take(state, f, label)), 0)
+
+    def take(state: Column, f: Column, label: Column) -> Column:
         row = F.struct(
             F.when(label.isNull(), "fp").otherwise("tp").alias("outcome"),
             f["seq"].alias("finding_seq"),

@@ -145,17 +145,16 @@ def report_comments(findings: DataFrame) -> DataFrame:
     )
 
 
-def report_payload(ranked: DataFrame, page: int = 10_000) -> DataFrame:
+def report_payload(ranked: DataFrame, page: int | None = None) -> DataFrame:
     """One JSON payload per review; its headline counts all findings.
 
-    ``ranked`` comes from ``rank_findings``. Critical and high ranks come first, so
-    ``rank`` cuts the comments of a very large review into payloads of at most
-    ``page`` comments: nothing is left out and no payload outgrows its task.
+    ``ranked`` comes from ``rank_findings``. With ``page``, the comments of a review
+    are cut by rank into payloads of at most so many; nothing is left out.
     """
     totals = ranked.groupBy("review_id").agg(F.count(F.lit(1)).alias("__all"))
     comments = report_comments(ranked.withColumn("finding_seq", F.col("rank")))
     pages = comments.groupBy(
-        "review_id", F.floor((F.col("finding_seq") - 1) / page).cast("long").alias("page_no")
+        "review_id", (F.floor((F.col("finding_seq") - 1) / page) if page else F.lit(0)).cast("long").alias("page_no")
     ).agg(
         F.sort_array(
             F.collect_list(F.struct("finding_seq", "path", "line", "start_line", "body"))
@@ -167,7 +166,7 @@ def report_payload(ranked: DataFrame, page: int = 10_000) -> DataFrame:
     )
     return totals.join(pages, "review_id", "left").select(
         "review_id",
-        F.coalesce("page_no", F.lit(0)).alias("page_no"),
+        F.coalesce("page_no", F.lit(0).cast("long")).alias("page_no"),
         F.size(clean).alias("comments"),
         F.to_json(
             F.struct(

@@ -164,9 +164,9 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
     """Findings of submitted JSON that are complete, valid and sure enough.
 
     ``submissions`` has review_id, file_no, file and payload, a JSON object with a
-    list ``findings``. An item that misses a field or breaks an allowed-word list
-    is dropped alone. An item that is no object, a confidence that is no number,
-    or a sure item whose texts are no strings voids the whole submission.
+    list ``findings``. An item that is no object, misses a field, breaks an allowed-word
+    list, or whose confidence is no number or whose texts are no strings is dropped
+    alone; the others of its submission stay.
     """
     typed = f"""transform(
         raw,
@@ -190,14 +190,10 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
     def no_text(kind: Column) -> Column:
         return kind.isNotNull() & (kind != "STRING")
 
-    def voids(x: Column) -> Column:
+    def broken(x: Column) -> Column:
         no_number = x["confidence_kind"].isNotNull() & ~x["confidence_kind"].rlike(f"^{_NUMERIC}$")
-        sure = x["confidence"] >= threshold
-        return (
-            ~x["item_kind"].startswith("OBJECT")
-            | no_number
-            | (sure & (no_text(x["explanation_kind"]) | no_text(x["fix_kind"])))
-        )
+        no_object = F.coalesce(~x["item_kind"].startswith("OBJECT"), F.lit(True))
+        return no_object | no_number | no_text(x["explanation_kind"]) | no_text(x["fix_kind"])
 
     # parsed, typed and exploded step by step, so that nothing is evaluated twice
     raw = submissions.select(
@@ -212,8 +208,9 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
             "review_id",
             "file_no",
             "file",
-            F.posexplode(F.when(~F.exists("items", voids), F.col("items"))).alias("at", "i"),
+            F.posexplode("items").alias("at", "i"),
         )
+        .where(~broken(F.col("i")))
         .select("review_id", "file_no", "file", "at", "i.*", F.col("file").alias("own_file"))
     )
     whole = [F.col(c) == F.floor(c) for c in ("line_start", "line_end")]

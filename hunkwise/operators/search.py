@@ -19,15 +19,15 @@ QUERY_LINES = 10
 QUERY_MIN_CHARS = 10
 
 # Sizes of one unit of comparison: at most this many queries meet this many chunks
-# at a time. Queries up to BROADCAST_QUERIES are sent to all tasks instead.
-QUERY_TILE = 2_048
-CHUNK_TILE = 16_384
-BROADCAST_QUERIES = 4_096
+# at a time, so the scores of a unit are 64 MB.
+QUERY_TILE = 1_024
+CHUNK_TILE = 8_192
 SCORE_DIGITS = 6
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Words of a text; a null text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def term_weights(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -99,17 +99,17 @@ def _best(k: int):
     def pick(queries, chunk_ids, chunks):
         import numpy as np
 
-        scores = np.round(queries @ chunks.T, SCORE_DIGITS) + 0.0
-        k_here = min(k, scores.shape[1])
-        floor = -np.partition(-scores, k_here - 1, axis=1)[:, k_here - 1]
-        q_at, c_at = np.nonzero(scores >= floor[:, None])
-        value = scores[q_at, c_at]
-        order = np.lexsort((chunk_ids[c_at], -value, q_at))
-        q_at, c_at, value = q_at[order], c_at[order], value[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(q_at) != 0])
-        place = np.arange(len(q_at)) - np.repeat(starts, np.diff(np.r_[starts, len(q_at)]))
-        keep = place < k_here
-        return q_at[keep], c_at[keep], value[keep]
+        order = np.argsort(chunk_ids, kind="stable")
+        scores = np.round(queries @ chunks[order].T, SCORE_DIGITS) + 0.0
+        rows = np.arange(len(scores))
+        at, value = [], []
+        # The first of equal scores has the lowest id, so ties need no list of their own.
+        for _ in range(min(k, scores.shape[1])):
+            best = scores.argmax(axis=1)
+            at.append(order[best])
+            value.append(scores[rows, best])
+            scores[rows, best] = -np.inf
+        return np.tile(rows, len(at)), np.concatenate(at), np.concatenate(value)
 
     return pick
 
@@ -150,10 +150,9 @@ def top_k_similar(
     ``queries`` has query_id and vector, ``chunks`` chunk_id and vector; ``by`` names
     columns that both must share. ``of_query`` and ``of_chunk`` name further columns
     that come along, which spares joining them again. Exact: matrix products over
-    tiles, each of which gives only its own best ``k`` per query. Few queries are
-    broadcast, behind a count; otherwise both sides are cut into tiles of bounded size
-    within each group of ``by``, however large the group, and every pair of tiles is
-    one unit of work.
+    tiles, each of which gives only its own best ``k`` per query. Both sides are cut
+    into tiles of bounded size within each group of ``by``, however large the group,
+    and every pair of tiles is one unit of work.
     """
     q_names, c_names = ["query_id", *of_query], ["chunk_id", *of_chunk]
     out = T.StructType(
@@ -163,10 +162,6 @@ def top_k_similar(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if not by:
-        some = queries.select(*q_names, "vector").limit(BROADCAST_QUERIES + 1).toArrow()
-        if some.num_rows <= BROADCAST_QUERIES:
-            return _rank(_broadcast_search(some, chunks, k, q_names, c_names, out), k)
     return _rank(_tiled_search(queries, chunks, k, by or [], q_names, c_names, out), k)
 
 
@@ -182,24 +177,6 @@ def _hits():
     return hits
 
 
-def _broadcast_search(
-    table, chunks: DataFrame, k: int, q_names: list[str], c_names: list[str], out: T.StructType
-) -> DataFrame:
-    pick, unit, hits = _best(k), _unit_rows(), _hits()
-    matrix = unit(table.column("vector").combine_chunks()) if table.num_rows else None
-    shared = chunks.sparkSession.sparkContext.broadcast((table.select(q_names).combine_chunks(), matrix))
-
-    def run(batches: Iterator) -> Iterator:
-        asked, matrix = shared.value
-        for batch in batches:
-            if batch.num_rows and asked.num_rows:
-                chunk_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                q_at, c_at, score = pick(matrix, chunk_ids, unit(batch.column("vector")))
-                yield hits(asked, q_names, q_at, batch, c_names, c_at, score)
-
-    return chunks.select(*c_names, "vector").mapInArrow(run, out)
-
-
 def _tiled_search(
     queries: DataFrame,
     chunks: DataFrame,

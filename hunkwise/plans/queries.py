@@ -291,9 +291,10 @@ def eval_total(spark, d):
 def label_eval(spark, d):
     """Labelled documents: a secret found in one against its being marked as toxic."""
     labels = tables.read_table(spark, d, "labels").select(F.col("doc_id").alias("review_id"), "toxic")
-    found = (
-        scan.scan_secrets(document_hunks(spark, d))
-        .join(labels.select("review_id"), "review_id", "left_semi")
+    # A document is flagged or not, wherever in it the secret stands.
+    hunks = document_hunks(spark, d).join(labels.select(F.col("review_id").alias("diff_id")), "diff_id", "left_semi")
+    found = scan.scan_secrets(hunks).groupBy("review_id", "category").agg(
+        F.min("finding_seq").alias("finding_seq"), F.lit(1).cast("long").alias("line_start")
     )
     expected = labels.where("toxic = 1").select(
         "review_id", F.lit("security").alias("category"), F.lit(0).alias("label_seq"), F.lit(1).alias("line")
@@ -387,16 +388,17 @@ def chunk_keys(spark, d):
 
 @query
 def upsert_chunks(spark, d):
-    """Code chunks in three loads: all files, every file again, and every file once more as read."""
-    keyed = chunks.chunk_keys(chunks.chunk_blocks(S.code_files(spark, d)))
-    own = keyed.select("chunk_id", "file", "line_start", "content", F.col("diff_id").alias("arrival"))
+    """Code chunks in two loads, the second with some of them changed; many repositories hold a setup.py."""
+    name = F.when(F.col("diff_id") % 3 == 0, "setup.py").otherwise(F.col("file"))
+    keyed = chunks.chunk_keys(chunks.chunk_blocks(S.code_files(spark, d)).withColumn("file", name))
+    own = keyed.select("repo", "chunk_id", "file", "line_start", "content", F.col("diff_id").alias("arrival"))
     first = own.withColumn("batch_no", F.lit(1))
     changed = F.when(F.col("arrival") % 2 == 0, F.concat("content", F.lit(" #"))).otherwise(F.col("content"))
     second = chunks.chunk_keys(own.withColumn("content", changed).drop("chunk_id")).select(
         *[c for c in own.columns]
     )
     return chunks.upsert_chunks(first, second.withColumn("batch_no", F.lit(2))).select(
-        "chunk_id", "file", "line_start", "batch_no"
+        "repo", "chunk_id", "file", "line_start", "batch_no"
     )
 
 
@@ -408,7 +410,7 @@ def history_docs(spark, d):
 
 @query
 def tfidf_top_terms(spark, d):
-    docs = S.spread_out(tables.read_table(spark, d, "documents").select("doc_id", "text"))
+    docs = tables.read_table(spark, d, "documents").select("doc_id", "text")
     return search.top_terms(search.term_weights(docs, "doc_id", "text"), "doc_id").select(
         "doc_id", "rank", "term", "weight"
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from hunkwise.model import HUNK_LINE_CAP
 from hunkwise.operators.diff import hunks_of, lines_as_added, parse_files
 from hunkwise.operators.evaluate import eval_metrics, match_labels
 from hunkwise.operators.findings import dedupe_findings, merge_findings
@@ -12,7 +11,7 @@ from hunkwise.operators.scan import confidence_gate, run_rules
 
 
 def review_changes(
-    diffs: DataFrame, submissions: DataFrame | None = None, cap: int = HUNK_LINE_CAP
+    diffs: DataFrame, submissions: DataFrame | None = None, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Diffs, and what an agent handed in, to (files, findings without duplicates).
 

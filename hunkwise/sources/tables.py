@@ -19,7 +19,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{folder}/{name}*.parquet")
+        .parquet(f"{folder}/{name}[.]parquet")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from hunkwise.model import HUNK_LINE_CAP, REQUESTS_PER_WINDOW, WINDOW_SECONDS
+from hunkwise.model import REQUESTS_PER_WINDOW, WINDOW_SECONDS
 from hunkwise.operators.diff import hunks_of, parse_files
 from hunkwise.operators.ledger import MICROS, outcome_flags
 from hunkwise.operators.scan import run_rules
@@ -20,7 +20,7 @@ def stream_pr_events(received: DataFrame) -> DataFrame:
     return pr_events(received)
 
 
-def stream_rules(diffs: DataFrame, cap: int = HUNK_LINE_CAP) -> DataFrame:
+def stream_rules(diffs: DataFrame, cap: int | None = None) -> DataFrame:
     """Rule findings of diffs as they arrive. A diff is one row, so no state is kept."""
     return run_rules(hunks_of(parse_files(diffs, cap)))
 

@@ -124,9 +124,16 @@ def test_tiles_equal_brute_force(spark, monkeypatch):
     for by in (["g"], None):
         got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, chunks, 3, by).collect()}
         assert got == want(by)
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 5)
-    got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, chunks, 3).collect()}
-    assert got == want(None)
+    tied = chunks.withColumn("vector", F.array(F.lit(0.0), F.lit(1.0), *[F.lit(0.0)] * 4))
+    got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, tied, 3).collect()}
+    assert got == {(q, i + 1, i) for q in range(40) for i in range(3)}  # equal scores: the lowest ids
+
+
+def test_text_without_words(spark):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "id long, text string")
+    idf = search.bucket_idf(texts, "text")
+    lengths = {r.id: sum(x * x for x in r.vector) for r in search.vectorize_text(texts, "text", idf).collect()}
+    assert lengths[1] == lengths[2] == 0 and abs(lengths[3] - 1) < 1e-9
 
 
 def test_turn_budget(spark):

@@ -90,11 +90,11 @@ def item(**kw):
         ([item(confidence="-")], 0),
         ([item(severity="fatal"), item()], 1),
         ([item(line_start="-"), item()], 1),
-        ([item(confidence="high"), item()], 0),
-        ([item(confidence=None), item()], 0),
-        ([item(explanation=None), item()], 0),
+        ([item(confidence="high"), item()], 1),
+        ([item(confidence=None), item()], 1),
+        ([item(explanation=None), item()], 1),
         ([item(explanation=None, confidence=0.1), item()], 1),
-        ([3, item()], 0),
+        ([3, item()], 1),
         ([item(explanation="-")], 1),
         ([item(file=None), item()], 1),
         ([item(confidence=7)], 1),
