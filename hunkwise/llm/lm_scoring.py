@@ -39,7 +39,7 @@ class Model:
     order: int = 2
     mu: float = 16.0
     discount: float = 0.5
-    block_bytes: int = 4_000_000
+    block_bytes: int = 6_000_000
     bucket_bytes: int = 8_000_000
 
 
@@ -106,6 +106,19 @@ def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
+def _pack(keys: np.ndarray, level: int) -> bytes:
+    """Digests of a bucket: 64 bits of a word, 56 of a longer n-gram besides those that chose the bucket."""
+    return keys.tobytes() if level == 1 else keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack(body: bytes, level: int) -> np.ndarray:
+    if level == 1:
+        return np.frombuffer(body, np.uint64)
+    wide = np.zeros((len(body) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(body, np.uint8).reshape(-1, 7)
+    return wide.view("<u8").ravel()
+
+
 def _split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys): questions and answers use the same order."""
     bucket = _buckets_of(keys, buckets)
@@ -129,8 +142,8 @@ def _ask(order: int, buckets: int):
                         "bucket": pa.array([bucket], pa.int64()),
                         "block": pa.array([block], pa.int64()),
                         "level": pa.array([n], pa.int32()),
-                        "keys": pa.array([level.keys[part].tobytes()], pa.binary()),
-                        "counts": pa.array([level.counts[part].astype(np.uint32).tobytes()], pa.binary()),
+                        "keys": pa.array([_pack(level.keys[part], n)], pa.binary()),
+                        "counts": pa.array([_narrow(level.counts[part])], pa.binary()),
                     },
                     QUESTION,
                 )
@@ -163,15 +176,16 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answers() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in held])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held])
+        parts = [_unpack(k, spot[1]) for _, k, _ in held]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([_widen(c) for _, _, c in held])
         known, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts, minlength=len(known)).astype(np.int64)
         # How many words are known at all is told once, to the first block.
         words = int(((totals > 0) & (known != np.uint64(start))).sum()) if spot[1] == 1 else 0
         sums, at = totals[inverse].astype(np.uint64), 0
-        for i, (block, body, _) in enumerate(held):
-            n = len(body) // 8
+        for i, (block, _, _) in enumerate(held):
+            n = len(parts[i])
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([block], pa.int64()),
