@@ -723,6 +723,28 @@ oracle(
         coalesce(explanation, '') AS explanation, coalesce(source, '') AS source, coalesce(line_start, 0) AS line_start
     FROM o LEFT JOIN code_both_ranked f ON f.review_id = k""",
 )
+oracle(
+    "stored_reviews",
+    "o diff_rule_unique file_of",
+    """SELECT k AS review_id, 'o' || (c % 7) AS owner, 'r' || c AS repo, k AS pr_number, strftime(dt, '%Y') || '-01-01' AS day,
+        coalesce(files, 0) AS files, coalesce(findings, 0) AS findings
+    FROM o LEFT JOIN (SELECT review_id, count(*) AS findings FROM diff_rule_unique GROUP BY ALL) f ON f.review_id = k
+    LEFT JOIN (SELECT diff_id, count(*) AS files FROM file_of GROUP BY ALL) n ON n.diff_id = k""",
+)
+oracle(
+    "stored_detail",
+    "dl",
+    """SELECT diff_id AS review_id, 'Change ' || diff_id AS pr_title, file_no, filename, count(DISTINCT hunk_no)::INT AS hunks,
+        raw_header FROM dl GROUP BY ALL""",
+)
+oracle(
+    "read_diffs",
+    "o dl",
+    """SELECT 'r' || c AS repo, count(*) AS files, sum(hunks)::BIGINT AS hunks, (count(*) - 1 + any_value(0))::INT AS last_file_no
+    FROM o JOIN (SELECT diff_id, file_no, count(DISTINCT hunk_no) AS hunks FROM dl GROUP BY ALL) f ON f.diff_id = o.k GROUP BY ALL""",
+)
+ORACLE["page_links"] = """SELECT page_id, (generate_subscripts(links, 1) - 1)::INT AS link_no, unnest(links) AS target
+    FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''>]*)["'']', 1) AS links FROM pages)"""
 oracle(
     "file_badges",
     "file_of diff_rule_unique",

@@ -12,6 +12,7 @@ from hunkwise.functions.text import truncate_utf8
 from hunkwise.model import columns_besides
 from hunkwise.operators import cases, chunks, diff, evaluate, findings, imports, ledger, scan, search
 from hunkwise.plans.review import evaluate_rules, review_changes
+from hunkwise.session import shared_dir
 from hunkwise.sources import samples as S
 from hunkwise.sources import tables
 from hunkwise.streaming import streams
@@ -233,6 +234,63 @@ def review_detail(spark, d):
     )
 
 
+def yearly_reviews(spark, d):
+    """Reviews as if created on the first day of their year, so that the store has days of many reviews."""
+    return S.reviews(spark, d).withColumn("created_at", F.date_trunc("year", "created_at").cast("timestamp_ntz"))
+
+
+@query
+def stored_reviews(spark, d):
+    """Reviews written to a store twice and read back, with what is stored of each."""
+    files, found = review_changes(S.raw_diffs(spark, d))
+    path = shared_dir(spark, "store")
+    for _ in range(2):
+        tables.write_reviews(yearly_reviews(spark, d), found, files, path)
+    store = tables.read_reviews(spark, path)
+
+    def count(name: str):
+        return store[name].groupBy("review_id").agg(F.count(F.lit(1)).alias(name))
+
+    listed = store["reviews"].join(count("files"), "review_id", "left").join(count("findings"), "review_id", "left")
+    return listed.select(
+        "review_id",
+        "owner",
+        "repo",
+        "pr_number",
+        F.date_format("day", "yyyy-MM-dd").alias("day"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("files", "findings")],
+    )
+
+
+@query
+def stored_detail(spark, d):
+    """The diffs of stored reviews, each looked up by its id."""
+    files, found = review_changes(S.raw_diffs(spark, d))
+    path = shared_dir(spark, "store")
+    tables.write_reviews(yearly_reviews(spark, d), found, files, path)
+    store = tables.read_reviews(spark, path)
+    return store["reviews"].join(store["files"].drop("day"), "review_id").select(
+        "review_id", "pr_title", "file_no", "filename", F.size("hunks").alias("hunks"), "raw_header"
+    )
+
+
+@query
+def read_diffs(spark, d):
+    """A diff file of each repository, written below the shared folder and read back by its path."""
+    path = shared_dir(spark, "diffs")
+    rows = S.raw_diffs(spark, d).repartition("repo").sortWithinPartitions("repo", "diff_id")
+    rows.select("repo", F.regexp_replace("raw", "\n$", "")).write.partitionBy("repo").text(path)
+    back = diff.parse_files(tables.read_diffs(spark, f"{path}/repo=*"))
+    return back.groupBy(F.regexp_extract("diff_id", r"/repo=(\w+)/", 1).alias("repo")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.size("hunks")).alias("hunks"), F.max("file_no").alias("last_file_no")
+    )
+
+
+@query
+def page_links(spark, d):
+    return tables.page_links(tables.read_table(spark, d, "pages"))
+
+
 @query
 def file_badges(spark, d):
     files, found = review_changes(S.raw_diffs(spark, d))

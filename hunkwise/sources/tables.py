@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,23 +109,48 @@ def review_uid(owner: Column, repo: Column, number: Column, created: Column) ->
     return F.substring(F.sha2(text, 256), 1, 12)
 
 
+def _unstored(df: DataFrame, path: str) -> DataFrame:
+    """Rows of reviews that the table at ``path`` does not hold yet."""
+    try:
+        stored = df.sparkSession.read.parquet(path).select("review_id").distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df
+    return df.join(stored, "review_id", "left_anti")
+
+
 def write_reviews(reviews: DataFrame, findings: DataFrame, files: DataFrame, path: str) -> None:
-    """Append reviews to a store of three flat tables, split by day of creation.
+    """Add reviews to a store of three flat tables, split by day of creation.
 
     Findings and diffs stay rows of their own instead of lists inside a review, so
-    listings never read them and no review can outgrow a row.
+    listings never read them and no review can outgrow a row. A review that is stored
+    is not stored again, so a rerun adds nothing; reviews are written last, so one that
+    is listed is complete.
     """
     day = F.to_date("created_at").alias("day")
     days = reviews.select("review_id", day)
     keyed = files.withColumnRenamed("diff_id", "review_id") if "diff_id" in files.columns else files
     for name, df in (
-        ("reviews", reviews.select("*", day)),
         ("findings", findings.join(days, "review_id")),
         ("files", keyed.join(days, "review_id")),
+        ("reviews", reviews.select("*", day)),
     ):
-        df.write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
+        # Few files a day, however many tasks hold its rows.
+        new = _unstored(df, f"{path}/{name}").hint("rebalance", "day")
+        new.write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
 
 
 def read_reviews(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored tables, typed: reviews, findings and files."""
     return {n: spark.read.parquet(f"{path}/{n}") for n in ("reviews", "findings", "files")}
+
+
+# Fixed value: a link of a page.
+LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"']"
+
+
+def page_links(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, link_no, target): the links of each page in order, as written."""
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
+    return pages.select(page_id, F.posexplode(links).alias("link_no", "target"))
