@@ -937,6 +937,5 @@ oracle(
     "stream_rollup",
     "outcome",
     f"""SELECT us // {_DAY} * {_DAY} AS window_start, group_key, count(*) AS total_reviews, {_SUMS.format(over="")}
-    FROM outcome GROUP BY 1, 2
-    HAVING window_start + {_DAY} <= (SELECT max(us) - 3600000000 FROM outcome)""",
+    FROM outcome GROUP BY 1, 2""",
 )

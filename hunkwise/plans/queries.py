@@ -564,4 +564,5 @@ def stream_rate_limit(spark, d):
 
 @query
 def stream_rollup(spark, d):
-    return streams.drain(streams.stream_rollup(S.outcomes(spark, d, stream=True)), "rollup")
+    rolled = streams.stream_rollup(S.outcomes(spark, d, stream=True))
+    return streams.drain_updates(rolled, "rollup", ["window_start", "group_key"])

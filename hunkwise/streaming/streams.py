@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from hunkwise.model import REQUESTS_PER_WINDOW, WINDOW_SECONDS
+from hunkwise.model import REQUESTS_PER_WINDOW, WINDOW_SECONDS, columns_besides
 from hunkwise.operators.diff import hunks_of, parse_files
 from hunkwise.operators.ledger import MICROS, outcome_flags
 from hunkwise.operators.scan import run_rules
@@ -73,7 +73,11 @@ def stream_rate_limit(
 
 
 def stream_rollup(outcomes: DataFrame, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Outcome counts per group and event-time window, given out once a window is closed."""
+    """Outcome counts per group and event-time window; a closed window leaves the state.
+
+    In append mode a window is given out once, when it is closed; in update mode with
+    every batch that changes it, so that open windows are seen too.
+    """
     timed = outcomes.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", delay)
     return (
         timed.groupBy(F.window("event_time", length).alias("w"), "group_key")
@@ -96,3 +100,28 @@ def drain(stream: DataFrame, purpose: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def drain_updates(stream: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    """Run an updating stream over what is there now: the last row of every key.
+
+    Each batch replaces its own folder, so a batch that is run again adds nothing.
+    """
+    spark = stream.sparkSession
+    base = shared_dir(spark, purpose)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{base}/progress")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    values = columns_besides(stream, *keys)
+    last = F.max_by(F.struct(*values), "batch").alias("last")
+    return spark.read.parquet(f"{base}/out").groupBy(*keys).agg(last).select(*keys, "last.*")
