@@ -32,9 +32,12 @@ def stream_rate_limit(
     event_id: str,
     n: int = REQUESTS_PER_WINDOW,
     window_s: int = WINDOW_SECONDS,
+    delay: str = "1 day",
 ) -> DataFrame:
     """Decide each event on arrival; the state of a key is its live accepted times, at most ``n``.
 
+    A key that rests for a window, and for the ``delay`` that events may be late, leaves the state.
+
     Equal to the batch form as long as a key's events come in order across batches;
     within a batch they are put in order here, so a batch bounds what a key holds in
     memory: size it with the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
@@ -54,6 +57,9 @@ def stream_rate_limit(
     def decide(name, parts, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         live = [int(t) for t in state.get[0]] if state.exists else []
         rows = pd.concat(list(parts)).sort_values([at, event_id])
         allowed = []
@@ -63,12 +69,15 @@ def stream_rate_limit(
             if allowed[-1]:
                 live.append(now)
         state.update((live,))
+        rest = int(rows[at].max() + window) // 1000 + 1
+        state.setTimeoutTimestamp(max(rest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: name[0], at: rows[at], event_id: rows[event_id], "allowed": allowed})
 
     return (
-        events.select(key, at, event_id)
+        events.select(key, at, event_id, F.timestamp_micros(at).alias("__time"))
+        .withWatermark("__time", delay)
         .groupBy(key)
-        .applyInPandasWithState(decide, out, memory, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(decide, out, memory, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
