@@ -17,6 +17,8 @@ def local_session(cores: str | int = "*", app: str = "hunkwise", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Rows of keys are small and the work they cause is not: keep a piece for every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.driver.memory", os.environ.get("HUNKWISE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
