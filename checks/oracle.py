@@ -44,7 +44,9 @@ def with_ctes(sql: str, needs: str) -> str:
 
     for n in needs.split():
         visit(n)
-    body = ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order)
+    # Steps that several others read are made once, whatever the plan.
+    shared = ("dl", "nl", "diff_rule_unique")
+    body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in shared else ''}({CTE[n][1]})" for n in order)
     return f"WITH RECURSIVE {body}\n{sql}" if order else sql
 
 
