@@ -6,8 +6,8 @@ and rejects documents of which too little is left.
 
 A group of copies shares all its lines without any of them being boilerplate; removing
 copies is for a deduplication. So the documents that hold a line are told apart by a
-fingerprint of the rest: the smallest hash of the word windows in their other lines,
-which copies mostly share. A line is above the limit only where a third of its documents differ.
+fingerprint: the hash of the set of all their lines. Copies share it, and two documents that
+differ in any line never do. A line is above the limit only where a third of its documents differ.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm.common import BLANK_RUN, BLANKS, same, words_of, written
+from hunkwise.llm.common import BLANKS, same, words_of, written
 
 # Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
@@ -81,25 +81,8 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     )
 
 
-def _least_window(key: Column, words: Column) -> Column:
-    """The smallest hash of a line's word windows; of the whole line if it is short.
-
-    The words are bound as the element of an array, so that they are split once.
-    """
-    least = F.transform(
-        F.array(words),
-        lambda w: F.array_min(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - WINDOW),
-                lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]),
-            )
-        ),
-    )
-    return F.when(F.size(words) >= WINDOW, F.get(least, F.lit(0))).otherwise(key)
-
-
 def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document with its base counts and its lines as (key, low, chars), ``low`` being the smallest window."""
+    """One row per document with its base counts and its lines as (key, chars)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), body.alias("body"))
     rows = rows.withColumns({"words": words_of(F.col("body")), "parts": F.split("body", "\n")})
@@ -117,12 +100,7 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
         "n_repeat_words",
         ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
         F.transform(
-            "lines",
-            lambda x: F.struct(
-                line_key(x).alias("key"),
-                _least_window(line_key(x), F.split(F.lower(F.trim(x, F.lit(BLANKS))), BLANK_RUN)).alias("low"),
-                F.length(F.trim(x, F.lit(BLANKS))).alias("chars"),
-            ),
+            "lines", lambda x: F.struct(line_key(x).alias("key"), F.length(F.trim(x, F.lit(BLANKS))).alias("chars"))
         ).alias("lines"),
     )
 
@@ -141,13 +119,8 @@ def apply_rules(
     facts = written(
         base_counts(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()), "rule-facts"
     )
-    lows = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["low"])))
-    other = F.when(F.col("x.low") == F.get("lows", F.lit(0)), F.get("lows", F.lit(1))).otherwise(F.get("lows", F.lit(0)))
-    each = facts.select(
-        "host",
-        F.slice(lows, 1, 2).alias("lows"),
-        F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["low"].alias("low"))))).alias("x"),
-    ).select("host", "x.key", F.coalesce(other, F.lit(0)).alias("rest"))
+    keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"])))
+    each = facts.select("host", keys.alias("keys")).select("host", F.xxhash64("keys").alias("print"), F.explode("keys").alias("key"))
     hosts = facts.groupBy("host").agg(
         F.greatest(F.lit(float(limits.least)), F.count(F.lit(1)) * limits.share).alias("most")
     )
@@ -164,7 +137,7 @@ def apply_rules(
         each.alias("e")
         .join(frequent.alias("f"), on("e", "f"))
         .groupBy("f.host", "f.key", "n")
-        .agg(F.count_distinct("rest").alias("prints"))
+        .agg(F.count_distinct("print").alias("prints"))
     )
     above = written(
         prints.filter(F.col("prints") >= F.col("n") * limits.distinct).select("host", "key"),

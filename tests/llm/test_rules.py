@@ -80,6 +80,19 @@ def test_line_frequency(spark):
     assert not any(at[i].removed for i in range(40, 52))
 
 
+def words(name, n):
+    return " ".join(f"{name}x{k}" for k in range(n))
+
+
+def test_long_shared_lines_do_not_shield_each_other(spark):
+    shared = [words(f"menu{m}", 60) for m in range(3)]
+    rows = [(i, "\n".join([*shared, words(f"own{i}", 20)])) for i in range(20, 80)]
+    rows += [(i, "\n".join(shared[: i % 3 + 1]) + "\n" + words(f"own{i}", 400)) for i in range(100, 130)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(documents(spark, rows)).collect()}
+    assert all(len(got[i].removed) == 3 and got[i].depleted and not got[i].kept for i in range(20, 80))
+    assert all(len(got[i].removed) == i % 3 + 1 and got[i].kept for i in range(100, 130))
+
+
 def checked_shards(rows, shards):
     by = collections.defaultdict(list)
     for r in rows:
