@@ -7,7 +7,8 @@ and rejects documents of which too little is left.
 A group of copies shares all its lines without any of them being boilerplate; removing
 copies is for a deduplication. So the documents that hold a line are told apart by a
 fingerprint: the hash of the set of all their lines. Copies share it, and two documents that
-differ in any line never do. A line is above the limit only where a third of its documents differ.
+differ in any line never do. The count that is held against the limit is that of the fingerprints:
+copies count once, however many they are, and hide no other document.
 """
 
 from __future__ import annotations
@@ -30,13 +31,11 @@ MAX_REPEAT_PERCENT = 20
 class LineLimits:
     """``least`` documents of a host, or ``share`` of them where that is more, may hold a line.
 
-    ``distinct``: the part of those that must differ by fingerprint. ``left``: the part of
-    a document's characters that must remain.
+    Copies count as one document. ``left``: the part of a document's characters that must remain.
     """
 
     least: int = 20
     share: float = 0.002
-    distinct: float = 0.35
     left: float = 0.2
 
 
@@ -129,18 +128,18 @@ def apply_rules(
         many.alias("m")
         .join(hosts.alias("h"), same((F.col("m.host"), F.col("h.host"))))
         .filter("n > most")
-        .select("m.host", "key", "n"),
+        .select("m.host", "key", "most"),
         "rule-frequent",
     )
     on = lambda a, b: same((F.col(f"{a}.host"), F.col(f"{b}.host"))) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
     prints = (
         each.alias("e")
         .join(frequent.alias("f"), on("e", "f"))
-        .groupBy("f.host", "f.key", "n")
+        .groupBy("f.host", "f.key", "most")
         .agg(F.count_distinct("print").alias("prints"))
     )
     above = written(
-        prints.filter(F.col("prints") >= F.col("n") * limits.distinct).select("host", "key"),
+        prints.filter("prints > most").select("host", "key"),
         "rule-lines",
     )
     lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.key", "line.chars")

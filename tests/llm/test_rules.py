@@ -93,6 +93,18 @@ def test_long_shared_lines_do_not_shield_each_other(spark):
     assert all(len(got[i].removed) == i % 3 + 1 and got[i].kept for i in range(100, 130))
 
 
+def test_copies_do_not_shield_the_other_holders(spark):
+    footer = words("foot", 12)
+    page = "\n".join([words("page", 30), words("more", 30), footer])
+    rows = [(i, page) for i in range(100, 300)] + [(i, f"{words(f'own{i}', 40)}\n{footer}") for i in range(300, 340)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(documents(spark, rows)).collect()}
+    assert all(len(got[i].removed) == 1 and got[i].kept for i in range(100, 340))
+    # The copies are one document more: 21 are above the limit, 20 are at it.
+    for others, gone in ((20, 1), (19, 0)):
+        part = documents(spark, rows[: 200 + others])
+        assert {len(r.removed) for r in quality_rules.apply_rules(part).collect()} == {gone}
+
+
 def checked_shards(rows, shards):
     by = collections.defaultdict(list)
     for r in rows:
