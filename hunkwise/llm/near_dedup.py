@@ -367,15 +367,32 @@ def _links_left(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: Da
     )
 
 
-def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _texts_of_ids(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node) of every text of the ids that have several; an empty text counts, but has no node."""
+    kind = F.xxhash64("kind")
+    several = (
+        facts.filter("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.min(kind).alias("k0"), F.max(kind).alias("k1"))
+        .filter("k0 < k1")
+        .select("doc_id")
+    )
+    own = facts.filter("n > 0").select("doc_id", "kind").join(several, "doc_id")
+    return own.join(nodes.select("kind", "node"), "kind").select("doc_id", "node").distinct()
+
+
+def duplicate_groups(
+    docs: DataFrame, search: Search = Search(), doc_id: str = "doc_id", text: str = "text", tie_ids: bool = True
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of non-blanks, A-Z lower-cased. Documents are linked when 100 * common
     shingles >= 75 * all shingles of the two; fewer than five words are one shingle, none
     are no shingle and no link. ``component_id`` is the smallest doc_id that can be
     reached, so ties need no choice. Rows that share a doc_id are one document, linked to
-    what any of them is linked to. A row with a null id has no component and is kept. An
-    empty table gives no rows; other columns of ``docs`` are not looked at.
+    what any of them is linked to; without ``tie_ids`` each text has the links of its own. A
+    row with a null id has no component and is kept. An empty table gives no rows; other
+    columns of ``docs`` are not looked at.
     """
     facts = written(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(
@@ -407,7 +424,8 @@ def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "
     sets = written(
         docs.select(F.col(doc_id).cast("long").alias("node"), text)
         .join(members, "node", "left_semi")
-        .mapInArrow(_shingle_rows, "node bigint, shingles binary"),
+        .mapInArrow(_shingle_rows, "node bigint, shingles binary")
+        .filter(F.octet_length("shingles") > 0),  # an id with several texts may have an empty one
         "dedup-sets",
     )
     comps = written(members.withColumn("comp", F.col("node")), "components")
@@ -437,16 +455,30 @@ def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "
 
     # What is left in different components of one bucket.
     links = written(_links_left(buckets, comps, nodes, sets, search), "dedup-links")
+    of_ids = facts.select("doc_id", F.col("doc_id").alias("low")).limit(0)
+    if tie_ids:
+        own = written(_texts_of_ids(facts, nodes), "dedup-ids")
+        of_ids = own.groupBy("doc_id").agg(F.min("node").alias("low"))
+        tied = own.join(of_ids, "doc_id").filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+        alone = own.select("node").distinct().join(comps, "node", "left_anti")
+        comps = comps.unionByName(alone.withColumn("comp", F.col("node")))
+        links = links.unionByName(tied)
     comps = _contract(comps, links)
 
     by_kind = nodes.join(comps, "node", "left").select("kind", F.coalesce("comp", "node").alias("comp"))
     rows = facts.select("doc_id", "kind", F.col("n").alias("n_shingles"))
-    reached = rows.join(by_kind, "kind", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), "doc_id")).alias(
-            "component_id"
-        ),
+    by_id = of_ids.join(comps, of_ids.low == comps.node).select("doc_id", F.col("comp").alias("id_comp"))
+    reached = (
+        rows.join(by_kind, "kind", "left")
+        .join(by_id, "doc_id", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.when(
+                F.col("doc_id").isNotNull(),
+                F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), "id_comp", "doc_id"),
+            ).alias("component_id"),
+        )
     )
     return reached.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
@@ -454,15 +486,16 @@ def duplicate_groups(docs: DataFrame, search: Search = Search(), doc_id: str = "
 def keep_one(docs: DataFrame, search: Search = Search(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they are.
 
-    Of rows with the kept id, the one with the smallest text stays. Rows with a null id stay.
+    Each different text of the kept id stays once, so that none goes for its id alone. Rows
+    with a null id stay.
     """
-    groups = duplicate_groups(docs, search, doc_id, text)
+    groups = duplicate_groups(docs, search, doc_id, text, tie_ids=False)
     kept = groups.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     mine = F.col(f"d.`{doc_id}`")
     rows = docs.alias("d").join(kept.alias("k"), mine.cast("long") == F.col("k.__kept"), "left").filter(
         mine.isNull() | F.col("k.__kept").isNotNull()
     )
-    # The spread keeps rows without an id from meeting in one task.
-    spread = F.when(mine.isNull(), F.xxhash64(F.col(f"d.`{text}`")))
+    # The hash also keeps rows without an id from meeting in one task.
+    spread = F.xxhash64(F.col(f"d.`{text}`"))
     place = F.row_number().over(Window.partitionBy(mine, spread).orderBy(F.col(f"d.`{text}`")))
     return rows.withColumn("__place", place).filter((F.col("__place") == 1) | mine.isNull()).select("d.*")

@@ -1,3 +1,4 @@
+import collections
 import itertools
 import sys
 from pathlib import Path
@@ -73,6 +74,16 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{name}{k}" for k in range(60)) for name in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, ""), (9, a + " end"), (11, "so much text that nobody else has"), (11, None)]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.duplicate_groups(documents(spark, rows)).collect())
+    assert got == {(3, 3, True): 1, (5, 3, False): 2, (7, 3, False): 1, (9, 3, False): 2, (11, 11, True): 2}
+    # A second text without a near duplicate is not dropped.
+    rows = [(3, a), (3, b), (4, a + " more")]
+    assert {(r.doc_id, r.text) for r in near_dedup.keep_one(documents(spark, rows)).collect()} == {(3, a), (3, b)}
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"word{x}" for x in range(60)]
