@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import AWKWARD, documents, table, write  # noqa: E402
@@ -255,3 +256,65 @@ def test_run_is_the_brute_force_result(spark):
     packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert packed and packed <= rules <= ids
     assert not packed & leaked
+
+
+def lines_by_rule(rows):
+    """{id: text} of (id, host, text) after the quality rules, in plain Python."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    size, holders = collections.Counter(h for _, h, _ in rows), collections.defaultdict(set)
+    for _, host, text in rows:
+        own = frozenset(key(x) for x in (text or "").split("\n") if key(x))
+        for k in own:
+            holders[host, k].add(own)
+    out = {}
+    for i, host, text in rows:
+        gone = lambda x, h=host: len(holders[h, key(x)]) > max(20, 0.002 * size[h])
+        lines = (text or "").split("\n")
+        left = [x for x in lines if not gone(x)]
+        if len((text or "").split()) >= 10 and sum(len(key(x)) for x in left) >= 0.2 * sum(len(key(x)) for x in lines):
+            out[i] = "\n".join(left)
+    return out
+
+
+def pipeline_by_hand(rows, item):
+    """The (id, piece, tokens) of the whole pipeline; ids differ and no text repeats its own words."""
+    texts = lines_by_rule(rows)
+    keys = {i: {k for x in t.split("\n") if len(k := x.strip().lower()) >= 20} for i, t in texts.items()}
+    holders = collections.defaultdict(list)
+    for i, own in keys.items():
+        for k in own:
+            holders[k].append(i)
+    lost = lambda i, k: len(holders[k]) >= 3 and max(holders[k]) != i
+    texts = {i: "\n".join(x for x in t.split("\n") if not lost(i, x.strip().lower())) for i, t in texts.items()}
+    words = {i: t.lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    group = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if sets[a] and group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    tok = lambda t: decontaminate.tokens(t.encode())
+    out = set()
+    for i in (i for i in texts if group[i] == i):
+        covered = sum(n for _, _, n in tiles_by_hand(tok(item).tolist(), tok(texts[i]).tolist(), 5))
+        if 2 * covered < len(tok(item)):
+            n = len(words[i]) + 1
+            out |= {(i, k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))}
+    return out
+
+
+def test_pipeline_on_hot_hosts_and_copies_is_plain_python(spark, tmp_path):
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    menu, foot, item = [words(f"menu{m}", 60) for m in range(3)], words("foot", 12), ITEMS[0][1]
+    page = "\n".join([words("page", 30), words("more", 30), foot])
+    rows = [(i, "\n".join([*menu, words(f"own{i}", 20)])) for i in range(100, 125)]
+    rows += [(i, f"{words(f'own{i}', 40)}\n{foot}") for i in range(200, 222)] + [(i, page) for i in range(300, 370)]
+    rows += [(400, words("near", 60)), (401, words("near", 60) + " end"), (402, f"{words('leak', 20)} {item}"), (403, "short"), (404, None)]
+    rows += [(405, words("long", 2500))] + [(i, f"{words(f'own{i}', 30)}\n{foot}") for i in range(500, 515)]
+    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") >= 500, "cold").otherwise("hot"))
+    d = write(tmp_path, documents=docs, benchmark=bench(spark).select("item_id", "text").filter("item_id = 1"))
+    want = pipeline_by_hand([(i, "cold" if i >= 500 else "hot", t) for i, t in rows], item)
+    ids = {i for i, _, _ in want}
+    assert ids >= {*range(200, 222), 369, 400, 405, *range(500, 515)} and not ids & {*range(100, 125), 401, 402, 403, 404}
+    got = [(r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
