@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, decontaminate, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from hunkwise.llm import (
+    chat,
+    decontaminate,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    phrases,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    target_resampling,
+    token_counts,
+)
 from hunkwise.llm.common import load
 from hunkwise.llm.sql import ORACLE as ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 SHARDS = 24
+TOKEN_LIMIT = 512
 SAID = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -129,3 +144,22 @@ def op10_sharding(spark, d):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_phrase_mining(spark, d):
+    return phrases.mine_phrases(load(spark, d, "documents"))
+
+
+@query
+def op12_target_resampling(spark, d):
+    drawn = target_resampling.resample(load(spark, d, "documents"), load(spark, d, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_token_counts(spark, d):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(load(spark, d, "documents"), path, TOKEN_LIMIT)

@@ -67,3 +67,92 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+ORACLE["op11_phrase_mining"] = f"""
+WITH pieces AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, lang, piece FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), split AS MATERIALIZED (
+    SELECT id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), grams AS MATERIALIZED (
+    SELECT lang, size, phrase, count(*) AS f FROM (
+        SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+        UNION ALL
+        SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM (SELECT lang, w, unnest(generate_series(1, len(w) - 1)) AS i FROM split)
+        UNION ALL
+        SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]
+        FROM (SELECT lang, w, unnest(generate_series(1, len(w) - 2)) AS i FROM split)
+    ) GROUP BY ALL
+), found AS MATERIALIZED (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, phrase, a, size, 1 AS k, w[1] AS first, array_to_string(w[2:], ' ') AS rest FROM found
+    UNION ALL SELECT lang, phrase, a, size, 2, w[1] || ' ' || w[2], w[3] FROM found WHERE size = 3
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+           ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.first AND x.size = c.k
+    JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest AND y.size = c.size - c.k
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covered AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM found WHERE size = 3
+        UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM found WHERE size = 3
+    ) GROUP BY ALL
+), kept AS (
+    SELECT s.* FROM weakest s LEFT JOIN covered c ON c.lang = s.lang AND c.phrase = s.phrase
+    WHERE c.longer IS NULL OR 100 * c.longer < 50 * s.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r
+JOIN (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang) t ON t.lang = r.lang
+WHERE r.rank <= 2000
+"""
+
+ORACLE["op12_target_resampling"] = f"""
+WITH RECURSIVE bits AS (
+    SELECT n, n AS c, 0 AS turn FROM range(256) t(n)
+    UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, turn + 1 FROM bits WHERE turn < 8
+), crc AS MATERIALIZED (
+    SELECT list(c ORDER BY n) AS t FROM bits WHERE turn = 8
+), words AS MATERIALIZED (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), grams AS MATERIALIZED (
+    SELECT kind, id, g, count(*) AS n FROM (
+        SELECT kind, id, unnest(w) AS g FROM words
+        UNION ALL
+        SELECT kind, id, w[i] || ' ' || w[i + 1] FROM (SELECT kind, id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM words)
+    ) GROUP BY ALL
+), bucketed AS MATERIALIZED (
+    SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(hex(encode(g))), 2),
+           lambda i: ('0x' || substr(hex(encode(g)), i::INT + 1, 2))::BIGINT)),
+           lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]::BIGINT)), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT g FROM grams), crc
+), counts AS MATERIALIZED (
+    SELECT b.bucket, coalesce(sum(n) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 't'), 0) AS t
+    FROM grams JOIN bucketed b USING (g) GROUP BY b.bucket
+), gains AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                   / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighed AS (
+    SELECT id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+    FROM grams JOIN bucketed USING (g) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id
+), scored AS MATERIALIZED (
+    SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || d.id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM words d LEFT JOIN weighed USING (id) WHERE d.kind = 'd'
+), ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score,
+       CASE WHEN r.rank <= (SELECT 25 * count(*) // 100 FROM ranked) THEN r.rank END AS rank
+FROM scored s LEFT JOIN ranked r USING (doc_id)
+"""
