@@ -42,8 +42,8 @@ class Mining:
     least: int = 10
     inside: int = 50
     top: int = 2000
-    batch: int = 1_500_000
-    route: int = 2_000_000
+    batch: int = 1_000_000
+    route: int = 1_000_000
     common: int = 500_000
 
 
@@ -407,7 +407,11 @@ def mine_phrases(docs: DataFrame, setup: Mining = Mining(), lang: str = "lang",
     kept = weakest.join(covered, ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (100 * F.col("longer") < setup.inside * F.col("a"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= setup.top)
+    # The best of each of 64 parts first, so that a language ends in one task with few rows.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
+    few = kept.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= setup.top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+    best = few.withColumn("rank", rank).filter(F.col("rank") <= setup.top)
     totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
