@@ -7,6 +7,8 @@ array functions, recursion instead of folds, sparse joins instead of matrices.
 
 from __future__ import annotations
 
+import re
+
 from hunkwise.functions import rules as R
 from hunkwise.operators import cases, search
 from hunkwise.plans import queries as Q
@@ -47,7 +49,8 @@ def with_ctes(sql: str, needs: str) -> str:
     # Steps that several others read are made once, whatever the plan.
     shared = ("dl", "nl", "diff_rule_unique")
     body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in shared else ''}({CTE[n][1]})" for n in order)
-    return f"WITH RECURSIVE {body}\n{sql}" if order else sql
+    again = "RECURSIVE " if any(re.search(rf"\b{n}\b", CTE[n][1]) for n in order) else ""
+    return f"WITH {again}{body}\n{sql}" if order else sql
 
 
 def split_cte(name: str, source: str, keys: str, text: str) -> None:
@@ -157,7 +160,7 @@ cte(
 cte(
     "nl",
     "dl",
-    """SELECT *,
+    """SELECT diff_id, file_no, filename, hunk_no, line_no,
         CASE WHEN line LIKE '+%' THEN -1 ELSE old_start + count(*) FILTER (line NOT LIKE '+%') OVER w END::BIGINT AS old_line,
         CASE WHEN line LIKE '-%' THEN -1 ELSE new_start + count(*) FILTER (line NOT LIKE '-%') OVER w END::BIGINT AS new_line
     FROM dl WINDOW w AS (PARTITION BY diff_id, file_no, hunk_no ORDER BY line_no
@@ -165,9 +168,13 @@ cte(
 )
 cte(
     "diff_added",
-    "nl",
-    """SELECT diff_id, file_no, filename AS file, hunk_no, line_no AS pos, new_line, substr(line, 2) AS content
-    FROM nl WHERE line LIKE '+%' AND line NOT LIKE '+++%'""",
+    "dl",
+    """SELECT diff_id, file_no, file, hunk_no, pos, new_line, substr(line, 2) AS content
+    FROM (SELECT diff_id, file_no, filename AS file, hunk_no, line_no AS pos, line,
+            (new_start + count(*) FILTER (line NOT LIKE '-%') OVER w)::BIGINT AS new_line
+          FROM dl WINDOW w AS (PARTITION BY diff_id, file_no, hunk_no ORDER BY line_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE line LIKE '+%' AND line NOT LIKE '+++%'""",
 )
 # an added line that itself starts with ++ looks like a file header and is skipped
 cte(
