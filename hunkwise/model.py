@@ -60,11 +60,6 @@ def finding_seq(file_no: Column, family_no: Column, hunk_no: Column, position: C
     return seq
 
 
-def finding_block(seq: Column) -> Column:
-    """The part of finding_seq above the line: at most 2**20 findings share it."""
-    return F.shiftright(seq, _LINE_BITS)
-
-
 def rank_of(word: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(len(words))
     for i in reversed(range(len(words))):

@@ -11,9 +11,7 @@ from hunkwise.functions.ordered import running_sums
 from hunkwise.model import (
     FINDING_COLUMNS,
     SEVERITIES,
-    SOURCES,
     columns_besides,
-    finding_block,
     severity_name,
     severity_rank,
     source_rank,
@@ -40,11 +38,8 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Add ``rank`` within each review by severity, source and arrival."""
     ranked = findings.withColumns({"__sev": severity_rank(), "__src": source_rank()})
-    block = F.shiftleft((F.col("__sev") * (len(SOURCES) + 1) + F.col("__src")).cast("long"), 43) + finding_block(
-        F.col("finding_seq")
-    )
     return running_sums(
-        ranked, ["review_id"], ["__sev", "__src", "finding_seq"], block, {"rank": F.lit(1).cast("long")}
+        ranked, ["review_id"], ["__sev", "__src", "finding_seq"], {"rank": F.lit(1).cast("long")}
     ).drop("__sev", "__src")
 
 

@@ -21,8 +21,6 @@ from hunkwise.model import (
 )
 
 MICROS = 1_000_000
-MINUTE = 60 * MICROS
-COUNTER_BLOCK = 1024
 
 
 def block_of(position: str, width: int) -> Column:
@@ -166,20 +164,18 @@ def usage_ledger(usage: DataFrame, cap: float = COST_CAP) -> DataFrame:
     ``start`` resets its review; exactly the cap is still within it.
     """
     rate, per = COST_PER_TOKEN
-    starts = (F.col("kind") == "start").cast("long")
-    block = block_of("at", MINUTE)
-    order = ["at", "seq"]
-    epochs = running_sums(usage, ["review_id"], order, block, {"epoch": starts})
-    used = F.col("kind") != "start"
+    starts = F.col("kind") == "start"
     ledger = running_sums(
-        epochs,
-        ["review_id", "epoch"],
-        order,
-        block,
+        usage,
+        ["review_id"],
+        ["at", "seq"],
         {
-            "total_tokens": F.when(used, F.col("tokens")).otherwise(0).cast("long"),
-            "api_calls": used.cast("long"),
+            "epoch": F.coalesce(starts, F.lit(False)).cast("long"),
+            "total_tokens": F.when(~starts, F.col("tokens")).otherwise(0).cast("long"),
+            "api_calls": F.coalesce(~starts, F.lit(False)).cast("long"),
         },
+        reset=starts,
+        since=("total_tokens", "api_calls"),
     )
     cost = F.col("total_tokens") * F.lit(rate) / F.lit(float(per))
     return ledger.withColumn("cost_usd", cost).withColumn("within_cap", ~(F.col("cost_usd") > cap))
@@ -219,7 +215,7 @@ def empty_rate_monitor(
 
     ``outcomes`` has group_key, at (microseconds), seq, rule_count, agent_count and had_errors.
     """
-    run = running_sums(outcomes, ["group_key"], ["at", "seq"], block_of("at", MINUTE), outcome_flags())
+    run = running_sums(outcomes, ["group_key"], ["at", "seq"], outcome_flags())
     rate = F.col("empty_reviews") / F.col("total_reviews")
     return run.withColumn("alarm", (F.col("total_reviews") >= min_total) & (rate > threshold))
 
@@ -243,7 +239,6 @@ def turn_budget(
         calls,
         ["conv_id"],
         ["turn"],
-        block_of("turn", COUNTER_BLOCK),
         {
             "calls_before": F.lit(1).cast("long"),
             "tokens_before": F.col("tokens").cast("long"),

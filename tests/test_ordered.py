@@ -37,7 +37,7 @@ def test_quota(spark):
 def test_running_sums(spark):
     rows = skewed(2000, 2, 5000)
     df = spark.createDataFrame(rows, "key string, at long, id long")
-    out = running_sums(df, ["key"], ["at", "id"], ledger.block_of("at", 60 * S), {"total": F.col("id")}, inclusive=False)
+    out = running_sums(df, ["key"], ["at", "id"], {"total": F.col("id")}, inclusive=False)
     want, sums = {}, {}
     for key, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
         want[i] = sums.get(key, 0)
@@ -45,6 +45,65 @@ def test_running_sums(spark):
     assert {r.id: r.total for r in out.collect()} == want
 
 
+def test_sums_that_start_again(spark):
+    """A hot key over many partitions, with resets far apart and close together, null keys and doubles."""
+    rng = random.Random(8)
+    rows = [(None if i % 11 == 0 else k, at, i, rng.randrange(9), rng.random() < (0.002 if k == "hot" else 0.3)) for k, at, i in skewed(4000, 6, 3000)]
+    df = spark.createDataFrame(rows, "key string, at long, id long, v long, again boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        out = running_sums(
+            df, ["key"], ["at", "id"], {"whole": F.col("v"), "part": F.col("v"), "half": F.col("v") / 2}, reset=F.col("again"), since=("part",)
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, whole, part = {}, {}, {}
+    for key, _, i, v, again in sorted(rows, key=lambda r: (r[1], r[2])):
+        whole[key] = whole.get(key, 0) + v
+        part[key] = (0 if again else part.get(key, 0)) + v
+        want[i] = (whole[key], part[key], whole[key] / 2)
+    assert {r.id: (r.whole, r.part, r.half) for r in out} == want
+
+
+def test_inputs_are_evaluated_once(spark, tmp_path):
+    """Every row of the input passes its source once, whatever is made of it."""
+    seen = tmp_path / "seen"
+
+    def tell(batches):
+        import uuid
+
+        for batch in batches:
+            (seen / uuid.uuid4().hex).write_text(str(batch.num_rows))
+            yield batch
+
+    def passed():
+        n = sum(int(f.read_text()) for f in seen.iterdir())
+        for f in seen.iterdir():
+            f.write_text("0")
+        return n
+
+    seen.mkdir()
+    df = spark.createDataFrame(skewed(500, 3, 400), "key string, at long, id long").mapInArrow(tell, "key string, at long, id long")
+    running_sums(df, ["key"], ["at", "id"], {"total": F.col("id")}).collect()
+    assert passed() == 500
+    islands(df, ["key"], "at", 60 * S).collect()
+    assert passed() == 500
+    usage = df.select(
+        F.col("key").alias("review_id"), F.col("id").alias("seq"), "at", F.when(F.col("id") % 50 == 0, "start").otherwise("use").alias("kind"), F.lit(3).alias("tokens")
+    )
+    ledger.usage_totals(ledger.usage_ledger(usage)).collect()
+    assert passed() == 500
+    found = df.select(
+        F.col("key").alias("review_id"), F.lit("high").alias("severity"), F.lit("rule").alias("source"), F.col("id").alias("finding_seq"),
+        F.lit("f").alias("file"), F.lit("bug").alias("category"), F.lit("x").alias("explanation"), F.lit("").alias("suggested_fix"),
+        F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"),
+    )
+    findings.report_payload(findings.rank_findings(found)).collect()
+    assert passed() == 500
+
+
 def test_islands_also_below_zero(spark):
     df = spark.createDataFrame([("a", p) for p in (-9, -6, -1, 2, 5, 9, 20)], "key string, p long")
     got = {r.p: r.island for r in islands(df, ["key"], "p", 4).collect()}
