@@ -802,6 +802,19 @@ oracle(
           FROM (SELECT *, {scores()} FROM (SELECT count(*) AS total_fixtures, sum(true_positives)::BIGINT AS true_positives,
               sum(false_positives)::BIGINT AS false_positives, sum(false_negatives)::BIGINT AS false_negatives FROM detail)))""",
 )
+oracle(
+    "eval_levels",
+    "detail",
+    f"""SELECT repo, file, level, files, true_positives, false_positives, false_negatives,
+        round_even(precision_raw, 3) AS precision, round_even(recall_raw, 3) AS recall,
+        round_even(CASE WHEN precision_raw + recall_raw > 0
+            THEN 2 * precision_raw * recall_raw / (precision_raw + recall_raw) ELSE 0.0::DOUBLE END, 3) AS f1
+    FROM (SELECT *, {scores()} FROM (
+        SELECT coalesce(repo, '') AS repo, coalesce(file, '') AS file, (grouping(repo) + grouping(file))::INT AS level,
+            count(*) AS files, sum(true_positives)::BIGINT AS true_positives, sum(false_positives)::BIGINT AS false_positives,
+            sum(false_negatives)::BIGINT AS false_negatives
+        FROM (SELECT *, split_part(file, '/', 1) AS repo FROM detail) GROUP BY GROUPING SETS ((repo, file), (repo), ())))""",
+)
 # a document is flagged or not
 oracle(
     "label_eval",
@@ -930,6 +943,30 @@ oracle(
 oracle("import_edges", "edge", "SELECT diff_id, file, module, name, alias, statement FROM edge")
 oracle("dependents", "edge", "SELECT repo, module, count(DISTINCT file) AS files FROM edge GROUP BY ALL")
 
+cte(
+    "module",
+    "",
+    """SELECT repo, key, repo || '/f' || key || '.py' AS file, early,
+        lag(key) OVER (PARTITION BY repo ORDER BY key) AS before, max(key) OVER (PARTITION BY repo) AS last
+    FROM (SELECT 'r' || o_custkey AS repo, o_orderkey AS key, o_orderdate < TIMESTAMP '1995-04-01' AS early FROM orders)""",
+)
+cte(
+    "module_link",
+    "module",
+    """SELECT repo, file, repo || '/f' || before || '.py' AS target FROM module WHERE before IS NOT NULL
+    UNION SELECT repo, file, repo || '/f' || last || '.py' FROM module WHERE key % 7 = 0""",
+)
+oracle("resolve_imports", "module_link", "SELECT repo, file, target FROM module_link")
+for _name, _most in (("change_reach", 1000), ("change_reach_near", 2)):
+    cte(
+        _name,
+        "module module_link",
+        f"""SELECT repo, file, 0 AS distance FROM module WHERE early
+        UNION SELECT l.repo, l.file, r.distance + 1 FROM {_name} r JOIN module_link l ON l.repo = r.repo AND l.target = r.file
+        WHERE r.distance < least({_most}, (SELECT max(n) FROM (SELECT count(*) AS n FROM module GROUP BY repo)))""",
+    )
+    oracle(_name, _name, f"SELECT repo, file, min(distance)::INT AS distance FROM {_name} GROUP BY ALL")
+
 oracle(
     "pr_events",
     "received",

@@ -121,8 +121,33 @@ def eval_total(details: DataFrame) -> DataFrame:
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS],
         )
     )
+    return _with_f1(total)
+
+
+def eval_levels(outcomes: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("repo", "file")) -> DataFrame:
+    """Counts, precision, recall and F1 of every file, of every prefix of ``keys``, and of all, from one aggregation.
+
+    ``level`` is the number of keys that are summed over: 0 is a file, the highest the total row;
+    keys that are summed over are null. Outcomes and files go through the same grouping sets
+    and are added up before the shuffle, so the total row costs one row for each task.
+    """
+    seen = F.lit(None).cast("string")
+    rows = outcomes.select(*keys, "outcome").unionByName(files.select(*keys, seen.alias("outcome")))
+    sets = [list(keys[:i]) for i in range(len(keys), -1, -1)]
+    counted = rows.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("__id"),
+        F.count_if(F.col("outcome").isNull()).alias("files"),
+        *[F.count_if(F.col("outcome") == o).alias(c) for o, c in zip(("tp", "fp", "fn"), _COUNTS, strict=True)],
+    )
+    level = F.bit_count("__id").cast("int")
+    return _with_f1(_scores(counted.withColumn("level", level).drop("__id"))).select(
+        *keys, "level", "files", *_COUNTS, "precision", "recall", "f1"
+    )
+
+
+def _with_f1(scores: DataFrame) -> DataFrame:
     p, r = F.col("precision_raw"), F.col("recall_raw")
-    return total.withColumn("f1_raw", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).withColumn(
+    return scores.withColumn("f1_raw", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).withColumn(
         "f1", F.bround("f1_raw", 3)
     )
 

@@ -345,6 +345,16 @@ def eval_total(spark, d):
     return evaluate.eval_total(evaluate_rules(S.code_files(spark, d), S.code_labels(spark, d)))
 
 
+@query
+def eval_levels(spark, d):
+    """Scores of files, repositories and all from one aggregation."""
+    files = S.code_files(spark, d)
+    pairs = evaluate.match_labels(scan.run_rules(code_hunks(spark, d)), S.code_labels(spark, d))
+    owner = F.split_part("file", F.lit("/"), F.lit(1)).alias("repo")
+    levels = evaluate.eval_levels(pairs.select(owner, "file", "outcome"), files)
+    return levels.withColumns({c: F.coalesce(c, F.lit("")) for c in ("repo", "file")})
+
+
 @query
 def label_eval(spark, d):
     """Labelled documents: a secret found in one against its being marked as toxic."""
@@ -536,6 +546,30 @@ def dependents(spark, d):
     return imports.dependents(imports.import_edges(S.code_files(spark, d)), "repo")
 
 
+def change_links(spark, d):
+    files = S.linked_files(spark, d)
+    edges = imports.import_edges(files.drop("changed"))
+    return files, imports.resolve_imports(edges, files, "repo")
+
+
+@query
+def resolve_imports(spark, d):
+    return change_links(spark, d)[1]
+
+
+@query
+def change_reach(spark, d):
+    """Every module that a change of the early ones reaches, however far."""
+    files, links = change_links(spark, d)
+    return imports.change_reach(links, files.where("changed"), "repo")
+
+
+@query
+def change_reach_near(spark, d):
+    files, links = change_links(spark, d)
+    return imports.change_reach(links, files.where("changed"), "repo", depth=2)
+
+
 # --- events and streams ---
 
 
