@@ -7,9 +7,9 @@ full shingle sets. A pair at the limit of 0.75 misses all 64 bands about once in
 
 Exact copies are one node. A bucket is not expanded into its pairs: every node is first
 compared with one node of a bucket it is in (rounds of stars), linked nodes are contracted,
-and only what still lies in different components of one bucket is compared in full,
-inside the task that holds the bucket, or a pair of its blocks. Tasks give out links
-between components, never pairs, so rows stay in proportion to the buckets.
+and only what then still lies outside the largest component of a bucket is compared with all of
+it, block by block. Tasks give out links between components, never pairs, so rows stay in
+proportion to the buckets as long as few of their nodes stay outside.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ CHUNK = 1 << 20  # shingles hashed at a time
 @dataclass(frozen=True)
 class Search:
     """``rounds`` of stars; ``estimate``: part of equal signature values a pair must show
-    to be confirmed, five deviations below the limit; ``block`` nodes of a bucket are
-    compared in one task at a time; ``fan`` members share one copy of a star's centre."""
+    to be confirmed, five deviations below the limit; ``block`` nodes of a bucket meet in a
+    task at a time; ``fan`` members share one copy of a star's centre."""
 
     rounds: int = 3
     estimate: float = 0.62
@@ -327,18 +327,57 @@ def _contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _links_left(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
-    """All links (a, b) between components, found inside buckets; large ones are compared by pairs of blocks.
+def _open_buckets(buckets: DataFrame, comps: DataFrame, turn: int = 0) -> DataFrame:
+    """(key, big, inner, outer, centre) of the buckets that hold several components.
 
-    The first pass looks at signatures alone and says whose sets the second one needs.
+    ``big`` is the component of most nodes, ``inner`` and ``outer`` count nodes of it and of all others,
+    and ``centre`` is one node of it, another one for every ``turn``.
     """
     held = buckets.join(comps, "node")
-    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    rows = (
-        held.join(mixed, "key", "left_semi")
-        .join(nodes.select("node", "bands", "marks"), "node")
-        .withColumn("blocks", F.ceil(F.col("size") / search.block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    parts = held.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")
+    )
+    most = F.max(F.struct("n", F.col("comp").alias("big"), "centre")).alias("m")
+    return (
+        parts.groupBy("key")
+        .agg(most, F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps"))
+        .filter("comps > 1")
+        .select("key", "m.big", F.col("m.n").alias("inner"), (F.col("all") - F.col("m.n")).alias("outer"), "m.centre")
+    )
+
+
+def _fresh_stars(buckets: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every node outside the largest component of a bucket, with that one's centre; one centre a node."""
+    open_ = _open_buckets(buckets, comps, turn)
+    outside = buckets.select("key", "node").join(comps, "node").join(open_, "key").filter("comp != big")
+    near = outside.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands"))
+    best = near.groupBy("node").agg(F.max_by("centre", F.struct("bands", F.xxhash64("centre"))).alias("a"))
+    return best.select("a", F.col("node").alias("b"))
+
+
+def _block_rows(buckets: DataFrame, comps: DataFrame, search: Search) -> DataFrame:
+    """(key, first, second, side, node, comp): which nodes of an open bucket meet in which task.
+
+    Nodes of the largest component are not compared with each other. Of them and the others, the larger
+    side is dealt into blocks, and the smaller one visits every block (second is -1); the
+    others also meet each other, by pairs of blocks. So a bucket of m nodes with o outside its largest
+    component gives about m + o * m / block rows.
+    """
+    held = buckets.select("key", "node").join(comps, "node").join(_open_buckets(buckets, comps), "key")
+    own = F.xxhash64("node")
+    count = lambda c: F.ceil(F.greatest(c, F.lit(1)) / search.block).cast("int")
+    outer = F.col("comp") != F.col("big")
+    dealt = outer == (F.col("outer") > F.col("inner"))
+    blocks = count(F.greatest("inner", "outer"))
+    none = F.lit(-1)
+    apart = held.withColumn(
+        "spot",
+        F.explode(F.when(dealt, F.array(F.pmod(own, blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))),
+    ).select("key", F.col("spot").alias("first"), none.alias("second"), outer.cast("int").alias("side"), "node", "comp")
+    among = (
+        held.filter(outer & (F.col("outer") > 1))
+        .withColumn("blocks", count(F.col("outer")))
+        .withColumn("own", F.pmod(own, F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "key",
@@ -347,12 +386,19 @@ def _links_left(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: Da
             F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
             "node",
             "comp",
-            "n",
-            "bands",
-            "marks",
         )
     )
+    return apart.unionByName(among)
+
+
+def _links_left(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
+    """All links (a, b) between components, found inside buckets that still hold several of them.
+
+    The first pass looks at signatures alone and says whose sets the second one needs.
+    """
     spot = ["key", "first", "second"]
+    met = written(_block_rows(buckets, comps, search), "dedup-blocks")
+    rows = met.join(nodes.select("node", "n", "bands", "marks"), "node").select(*spot, "side", "node", "comp", "n", "bands", "marks")
     needed = (
         rows.repartition(*spot)
         .sortWithinPartitions(*spot)
@@ -453,6 +499,14 @@ def duplicate_groups(
             break
         comps = _contract(comps, links)
 
+    # More stars with new centres, for as long as they link: each round moves one row for each open node.
+    for turn in range(search.rounds):
+        pairs = _fresh_stars(buckets, comps, turn)
+        links = written(_confirmed(written(pairs, "dedup-stars"), sets, search.fan), "dedup-links")
+        if links.isEmpty():
+            break
+        comps = _contract(comps, links)
+
     # What is left in different components of one bucket.
     links = written(_links_left(buckets, comps, nodes, sets, search), "dedup-links")
     of_ids = facts.select("doc_id", F.col("doc_id").alias("low")).limit(0)

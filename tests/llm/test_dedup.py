@@ -157,3 +157,24 @@ def test_classes_of_the_sample(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     got = QUERIES["op2_minhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: r.component_id for r in got} == groups_by_hand(docs)
+
+
+def test_open_buckets_move_rows_in_proportion(spark):
+    """Every pair of different components meets in one task, at about m + o * m / block rows."""
+    search = near_dedup.Search(block=20)
+    for outer, most in ((10, 400 + 10 * 20 + 10), (1, 400 + 20), (230, 400 + 170 * 12 + 230 * 12)):
+        comp = {i: 0 if i < 400 - outer else i for i in range(400)}
+        buckets = spark.createDataFrame([(5, i) for i in comp] + [(6, i) for i in range(30)], "key long, node long")
+        comps = spark.createDataFrame(list(comp.items()), "node long, comp long")
+        rows = near_dedup._block_rows(buckets, comps, search).collect()
+        assert {r.key for r in rows} == {5} and len(rows) <= most
+        tasks = collections.defaultdict(list)
+        for r in rows:
+            tasks[r.first, r.second].append(r)
+        met = collections.Counter()
+        for group in tasks.values():
+            across = any(r.side for r in group)
+            for x, y in itertools.combinations(group, 2):
+                if x.comp != y.comp and (x.side != y.side or not across):
+                    met[min(x.node, y.node), max(x.node, y.node)] += 1
+        assert met == {(a, b): 1 for a, b in itertools.combinations(range(400), 2) if comp[a] != comp[b]}
