@@ -978,6 +978,9 @@ oracle(
 ORACLE["stream_pr_events"] = ORACLE["pr_events"]
 ORACLE["stream_rules"] = ORACLE["run_rules_diffs"]
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+ORACLE["stream_upsert_chunks"] = ORACLE["upsert_chunks"]
+ORACLE["stream_acceptance"] = ORACLE["acceptance_rate"]
+ORACLE["stream_usage_ledger"] = ORACLE["usage_ledger"]
 _DAY = 86_400_000_000
 oracle(
     "stream_rollup",

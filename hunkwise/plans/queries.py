@@ -454,20 +454,31 @@ def chunk_keys(spark, d):
     return keyed.select("diff_id", "chunk_no", "chunk_id")
 
 
-@query
-def upsert_chunks(spark, d):
+def chunk_loads(spark, d, stream=False):
     """Code chunks in two loads, the second with some of them changed; many repositories hold a setup.py."""
     name = F.when(F.col("diff_id") % 3 == 0, "setup.py").otherwise(F.col("file"))
-    keyed = chunks.chunk_keys(chunks.chunk_blocks(S.code_files(spark, d)).withColumn("file", name))
+    keyed = chunks.chunk_keys(chunks.chunk_blocks(S.code_files(spark, d, stream)).withColumn("file", name))
     own = keyed.select("repo", "chunk_id", "file", "line_start", "content", F.col("diff_id").alias("arrival"))
     first = own.withColumn("batch_no", F.lit(1))
     changed = F.when(F.col("arrival") % 2 == 0, F.concat("content", F.lit(" #"))).otherwise(F.col("content"))
     second = chunks.chunk_keys(own.withColumn("content", changed).drop("chunk_id")).select(
         *[c for c in own.columns]
     )
-    return chunks.upsert_chunks(first, second.withColumn("batch_no", F.lit(2))).select(
-        "repo", "chunk_id", "file", "line_start", "batch_no"
-    )
+    return first, second.withColumn("batch_no", F.lit(2))
+
+
+@query
+def upsert_chunks(spark, d):
+    return chunks.upsert_chunks(*chunk_loads(spark, d)).select("repo", "chunk_id", "file", "line_start", "batch_no")
+
+
+@query
+def stream_upsert_chunks(spark, d):
+    """Both loads as a stream, merged into a table batch by batch."""
+    first, second = chunk_loads(spark, d, stream=True)
+    path = shared_dir(spark, "chunks")
+    streams.drain_into(first.unionByName(second), "upsert", streams.stream_upsert(path, ("repo", "chunk_id")))
+    return spark.read.parquet(path).select("repo", "chunk_id", "file", "line_start", "batch_no")
 
 
 @query
@@ -593,10 +604,50 @@ def stream_rules(spark, d):
 def stream_rate_limit(spark, d):
     events = S.events(spark, d, stream=True)
     limited = streams.stream_rate_limit(events, "user_id", "at", "event_id", LIMIT, LIMIT_WINDOW)
-    return streams.drain(limited, "rate-limit").select("event_id", "user_id", "at", "allowed")
+    return streams.drain_updates(limited, "rate-limit", ["event_id"]).select("event_id", "user_id", "at", "allowed")
 
 
 @query
 def stream_rollup(spark, d):
-    rolled = streams.stream_rollup(S.outcomes(spark, d, stream=True))
-    return streams.drain_updates(rolled, "rollup", ["window_start", "group_key"])
+    """Counts of all windows, however late a row comes."""
+    outcomes = S.outcomes(spark, d, stream=True)
+    return streams.drain_sums(outcomes, "rollup", streams.roll_up, ["window_start", "group_key"])
+
+
+@query
+def stream_acceptance(spark, d):
+    """Posted findings and resolutions as two streams; the horizon covers the table, as no posting is ever withdrawn."""
+    first, last = S.span_of(spark, d)
+    horizon = (last - first) // 1_000_000 + 1
+    posted, solved = S.posted(spark, d, stream=True), S.resolutions(spark, d, stream=True)
+    ends = [streams.Closing(spark, x, "closing") for x in (posted, solved)]
+
+    def close() -> None:
+        beyond = last + (2 * horizon + 60) * 1_000_000  # past the delay and the horizon of the last row
+        ends[0].add(posted_at=beyond)
+        ends[1].add(ts=beyond, finding_id="")
+
+    pairs = streams.stream_acceptance(
+        posted.unionByName(ends[0].stream), solved.unionByName(ends[1].stream), f"{horizon} seconds", f"{horizon} seconds"
+    )
+    tracked = streams.last_of_posted(streams.drain(pairs, "acceptance", close).where("finding_id is not null"))
+    return evaluate.acceptance_rate(
+        tracked.withColumn("review", F.substring_index("finding_id", "-", 1).cast("long")), "review"
+    )
+
+
+@query
+def stream_usage_ledger(spark, d):
+    """The ledger with state by review; the delay covers the table, which is in no order."""
+    first, last = S.span_of(spark, d)
+    span = (last - first) // 1_000_000 + 1
+    usage = S.usage(spark, d, stream=True)
+    end = streams.Closing(spark, usage, "closing")
+
+    def close() -> None:
+        end.add(at=last + (2 * span + 60) * 1_000_000, seq=0, kind="start", tokens=0)
+
+    with streams.rocks_state(spark):
+        ledger = streams.stream_usage(usage.unionByName(end.stream), f"{span} seconds")
+        rows = streams.drain(ledger, "usage", close).where("review_id is not null")
+    return rows.select("review_id", "seq", "epoch", "total_tokens", "api_calls", "cost_usd", "within_cap")
