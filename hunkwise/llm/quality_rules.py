@@ -8,7 +8,12 @@ A group of copies shares all its lines without any of them being boilerplate; re
 copies is for a deduplication. So the documents that hold a line are told apart by a
 fingerprint: the hash of the set of all their lines. Copies share it, and two documents that
 differ in any line never do. The count that is held against the limit is that of the fingerprints:
-copies count once, however many they are, and hide no other document.
+copies count once, however many they are, and hide no other document. The limit's share is one of
+a host's fingerprints, too, so copies do not raise it.
+
+Near copies differ in some line and so count apart; with enough of them on a host, all they share is
+above the limit. So that a text does not vanish with its copies, the first of the depleted documents
+that hold a line keeps it, and stays if enough is left of it then; the others are rejected.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ MAX_REPEAT_PERCENT = 20
 
 @dataclass(frozen=True)
 class LineLimits:
-    """``least`` documents of a host, or ``share`` of them where that is more, may hold a line.
+    """``least`` different documents of a host, or ``share`` of them where that is more, may hold a line.
 
     Copies count as one document. ``left``: the part of a document's characters that must remain.
     """
@@ -120,7 +125,7 @@ def apply_rules(
     )
     keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"])))
     each = facts.select("host", keys.alias("keys")).select("host", F.xxhash64("keys").alias("print"), F.explode("keys").alias("key"))
-    hosts = facts.groupBy("host").agg(
+    hosts = facts.select("host", F.xxhash64(keys).alias("print")).distinct().groupBy("host").agg(
         F.greatest(F.lit(float(limits.least)), F.count(F.lit(1)) * limits.share).alias("most")
     )
     many = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limits.least)
@@ -142,20 +147,37 @@ def apply_rules(
         prints.filter("prints > most").select("host", "key"),
         "rule-lines",
     )
-    lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.key", "line.chars")
-    gone = (
-        lines.alias("l")
-        .join(above.alias("a"), on("l", "a"))
-        .groupBy("row")
-        .agg(F.sum("chars").alias("gone_chars"), F.collect_set("l.key").alias("removed"))
+    doc = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text_hash").alias("text"))
+    lines = facts.select("row", "host", doc.alias("doc"), F.explode("lines").alias("line")).select(
+        "row", "host", "doc", "line.key", "line.chars"
     )
+    hits = written(lines.alias("l").join(above.alias("a"), on("l", "a")).select("l.*"), "rule-hits")
+    gone = hits.groupBy("row").agg(F.sum("chars").alias("gone_chars"), F.collect_set("key").alias("removed"))
     all_chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    depleted = F.coalesce(all_chars - F.col("gone_chars") < all_chars * limits.left, F.lit(False))
-    return facts.join(gone, "row", "left").select(
-        *[c for c in facts.columns if c not in ("row", "lines")],
-        depleted.alias("depleted"),
-        (~F.col("base_failed") & ~depleted).alias("kept"),
-        F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
+    sized = facts.withColumn("all_chars", all_chars).join(gone, "row", "left")
+    poor = sized.filter(F.col("all_chars") - F.col("gone_chars") < F.col("all_chars") * limits.left).select("row")
+    lost = hits.join(poor, "row")
+    first = lost.groupBy("host", "key").agg(F.min("doc").alias("doc"))
+    mine = on("l", "f") & (F.col("l.doc") == F.col("f.doc"))
+    saved = (
+        lost.alias("l")
+        .join(first.alias("f"), mine)
+        .groupBy("l.row")
+        .agg(F.sum("chars").alias("saved_chars"), F.collect_set("l.key").alias("saved"))
+    )
+    chars = F.col("all_chars") - F.coalesce("gone_chars", F.lit(0)) + F.coalesce("saved_chars", F.lit(0))
+    none = F.array().cast("array<bigint>")
+    return (
+        sized.join(saved, "row", "left")
+        .withColumn("depleted", F.coalesce(chars < F.col("all_chars") * limits.left, F.lit(False)))
+        .select(
+            *[c for c in facts.columns if c not in ("row", "lines")],
+            "depleted",
+            (~F.col("base_failed") & ~F.col("depleted")).alias("kept"),
+            F.array_except(
+                F.coalesce("removed", none), F.when(F.col("depleted"), none).otherwise(F.coalesce("saved", none))
+            ).alias("removed"),
+        )
     )
 
 
