@@ -752,6 +752,22 @@ oracle(
     """SELECT 'r' || c AS repo, count(*) AS files, sum(hunks)::BIGINT AS hunks, (count(*) - 1 + any_value(0))::INT AS last_file_no
     FROM o JOIN (SELECT diff_id, file_no, count(DISTINCT hunk_no) AS hunks FROM dl GROUP BY ALL) f ON f.diff_id = o.k GROUP BY ALL""",
 )
+oracle(
+    "stored_page",
+    "o",
+    f"""SELECT k AS review_id, 'o' || (c % 7) AS owner, 'r' || c AS repo, k AS pr_number, strftime(dt, '%Y-%m-%d') AS day
+    FROM o ORDER BY dt DESC, k LIMIT {Q.PAGE} OFFSET {Q.PAGE}""",
+)
+_SIDE = ", ".join(
+    f"({t}, {i}, {l[0]}, {lit(l[1])}, {lit(l[2])}, {lit(l[3])})" for t, (_, ls) in enumerate(S.TEMPLATES) for i, l in enumerate(ls)
+)
+oracle(
+    "read_labels",
+    "o",
+    f"""SELECT 'r' || c AS repo, (row_number() OVER (PARTITION BY c ORDER BY k, n) - 1)::INT AS label_seq, line::BIGINT AS line,
+        category, severity, label
+    FROM o JOIN (VALUES {_SIDE}) AS v(t, n, line, category, severity, label) ON k % {S.N} = v.t""",
+)
 ORACLE["page_links"] = """SELECT page_id, (generate_subscripts(links, 1) - 1)::INT AS link_no, unnest(links) AS target
     FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"''>]*)["'']', 1) AS links FROM pages)"""
 oracle(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hunkwise.functions.ordered import islands, running_sums
+from hunkwise.functions.ordered import running_sums
 from hunkwise.model import (
     ALARM_EMPTY_RATE,
     ALARM_MIN_REVIEWS,
@@ -19,6 +19,7 @@ from hunkwise.model import (
     TOKEN_BUDGET,
     WINDOW_SECONDS,
 )
+from hunkwise.session import stored
 
 MICROS = 1_000_000
 
@@ -28,33 +29,44 @@ def block_of(position: str, width: int) -> Column:
     return F.expr(f"(`{position}` - pmod(`{position}`, {width}L)) div {width}L")
 
 
-def accept_ticks(n: int, window: int):
-    """Batches of (key, stretch, at, n) in order -> how many of each tick are let through.
+def accept_ticks(n: int, window: int, ends: bool):
+    """Batches of (key, block, at, n, start) in order -> how many of each tick are let through.
 
-    Only accepted times still inside the window are kept, at most ``n`` of them, so
-    a stretch of any length streams through. While the window is full the next tick
-    that can pass is looked up, not walked to.
+    ``start`` holds the accepted times that a block begins with. Only accepted times still inside the
+    window are kept, at most ``n`` of them, so a block of any length streams through. While the
+    window is full the next tick that can pass is looked up, not walked to. With ``ends``
+    the times that each block ends with are given out instead.
     """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        group, live = None, []
+        group, live, done = None, [], []
+
+        def given():
+            keys, blocks, times = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, kind), pa.array(blocks, pa.int64()), pa.array(times, pa.list_(pa.int64()))], names=["key", "block", "end"]
+            )
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             at = batch.column("at").to_numpy()
             many = batch.column("n").to_numpy()
-            mark = batch.column("stretch").to_numpy()
-            keys = batch.column("key")
+            mark = batch.column("block").to_numpy()
+            keys, starts = batch.column("key"), batch.column("start")
+            kind = keys.type
             code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((np.diff(code) != 0) | (np.diff(mark) != 0)) + 1
             passed = np.zeros(len(at), dtype=np.int64)
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(at)]):
                 here = (keys[int(lo)].as_py(), int(mark[lo]))
                 if here != group:
-                    group, live = here, []
+                    if group is not None:
+                        done.append((*group, live))
+                    group, live = here, list(starts[int(lo)].as_py())
                 i = int(lo)
                 while i < hi:
                     now = int(at[i])
@@ -68,15 +80,64 @@ def accept_ticks(n: int, window: int):
                         i += 1
                     else:
                         i += int(np.searchsorted(at[i:hi], live[0] + window))
+            if ends:
+                if done:
+                    yield given()
+                    done = []
+                continue
             some = np.flatnonzero(passed)
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(some)), pa.array(at[some]), pa.array(passed[some])],
                 names=["key", "at", "passed"],
             )
+        if ends and group is not None:
+            done.append((*group, live))
+            yield given()
 
     return run
 
 
+def _block_starts(ticks: DataFrame, n: int, window: int) -> DataFrame:
+    """(key, block, start): the accepted times that every block of ``ticks`` begins with.
+
+    All blocks are decided at once, as if nothing came before. Then each takes what the one before it
+    ended with, and only those are decided again whose beginning has changed, until none has. Times are
+    forgotten after a window, so a block soon remembers the same whatever it began with, and two
+    or three rounds are usual; a key that never forgets takes a round for every block, and ends all the same.
+    """
+    kind = ticks.schema["key"].dataType
+    end = T.StructType(
+        [T.StructField("key", kind), T.StructField("block", T.LongType()), T.StructField("end", T.ArrayType(T.LongType()))]
+    )
+    none = F.array().cast("array<bigint>")
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return _in_blocks(rows).mapInArrow(accept_ticks(n, window, True), end)
+
+    blocks = ticks.groupBy("key", "block").agg(F.min("at").alias("first"))
+    known = blocks.join(decided(ticks.withColumn("start", none)), ["key", "block"]).withColumn("start", none)
+    along = Window.partitionBy("key").orderBy("block")
+    while True:
+        before = F.coalesce(F.lag("end").over(along), none)
+        begun = F.filter(before, lambda t: t > F.col("first") - window)
+        chained = stored(known.withColumn("next", begun), "limit-blocks")
+        changed = chained.where(~F.col("start").eqNullSafe(F.col("next"))).select("key", "block", F.col("next").alias("start"))
+        if changed.isEmpty():
+            return chained.select("key", "block", "start")
+        again = decided(ticks.join(changed, ["key", "block"])).withColumnRenamed("end", "new_end")
+        known = chained.join(again, ["key", "block"], "left").select(
+            "key", "block", "first", F.coalesce("new_end", "end").alias("end"), F.col("next").alias("start")
+        )
+
+
+def _in_blocks(ticks: DataFrame) -> DataFrame:
+    return (
+        ticks.select("key", "block", "at", "n", "start")
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block", "at")
+    )
+
+
 def rate_limit(
     events: DataFrame,
     key: str,
@@ -84,23 +145,24 @@ def rate_limit(
     event_id: str,
     n: int = REQUESTS_PER_WINDOW,
     window_s: int = WINDOW_SECONDS,
+    block_windows: int = 64,
 ) -> DataFrame:
     """Add ``allowed``: an event passes while fewer than ``n`` accepted ones are in its window.
 
     ``at`` is in microseconds; an entry exactly one window old has expired. Ties
-    go by ``event_id``, which is unique.
+    go by ``event_id``, which is unique. Events without a key are not let through.
 
     The decision depends on earlier decisions, so it is a fold, but only over times:
-    events are counted per (key, time) first, and a key is cut wherever it rests for
-    a whole window, because nothing is remembered across that. What remains of a
-    key that never rests runs through one task as a stream of counts with at most
-    ``n`` remembered times; the events themselves are spread by time and id.
+    events are counted per (key, time) first, and each key is cut into blocks of ``block_windows``
+    windows. Blocks are decided side by side and stitched where the times that they remember
+    meet, so a key that never rests, with a third of all events, still runs in many tasks; the
+    events themselves are spread by time and id.
     """
     n = n or REQUESTS_PER_WINDOW
     window = window_s * MICROS
     spot = events.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(event_id).alias("id"))
-    ticks = spot.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"))
-    stretches = islands(ticks, ["key"], "at", window, "stretch")
+    counted = spot.where("key is not null").groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"))
+    ticks = stored(counted.withColumn("block", block_of("at", block_windows * window)), "limit-ticks")
     schema = T.StructType(
         [
             T.StructField("key", spot.schema["key"].dataType),
@@ -108,12 +170,8 @@ def rate_limit(
             T.StructField("passed", T.LongType()),
         ]
     )
-    passed = (
-        stretches.select("key", F.col("stretch").cast("long"), "at", "n")
-        .repartition("key", "stretch")
-        .sortWithinPartitions("key", "stretch", "at")
-        .mapInArrow(accept_ticks(n, window), schema)
-    )
+    begun = ticks.join(_block_starts(ticks, n, window), ["key", "block"])
+    passed = _in_blocks(begun).mapInArrow(accept_ticks(n, window, False), schema)
     order = Window.partitionBy("key", "at").orderBy("id")
     first = spot.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
     accepted = (

@@ -24,6 +24,7 @@ LIMIT, LIMIT_WINDOW = 3, 86_400
 BYTES = 1_000
 TRUNCATED = "\n... [output truncated]"
 TURN_TOKENS = 1_500
+PAGE = 50
 FINDING = ["review_id", "file", "line_start", "line_end", "severity", "category", "explanation", "source"]
 
 
@@ -286,6 +287,32 @@ def read_diffs(spark, d):
     )
 
 
+@query
+def stored_page(spark, d):
+    """The second page of fifty stored reviews, newest first, from where the first one ended."""
+    files, found = review_changes(S.raw_diffs(spark, d))
+    path = shared_dir(spark, "store")
+    tables.write_reviews(S.reviews(spark, d), found, files, path)
+    listed = tables.read_reviews(spark, path)["reviews"]
+    seen = tables.page_of_reviews(listed, PAGE).collect()
+    after = (seen[-1]["created_at"], seen[-1]["review_id"]) if seen else None
+    page = tables.page_of_reviews(listed, PAGE, after)
+    return page.select("review_id", "owner", "repo", "pr_number", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def read_labels(spark, d):
+    """The labels of each repository as a side file, written below the shared folder and read back by its path."""
+    path = shared_dir(spark, "labels")
+    label = F.struct("review_id", "label_seq", "line", "category", "severity", "label")
+    rows = S.code_labels(spark, d).groupBy(F.split_part("file", F.lit("/"), F.lit(1)).alias("repo")).agg(
+        F.to_json(F.sort_array(F.collect_list(label))).alias("value")
+    )
+    rows.repartition("repo").write.partitionBy("repo").text(path)
+    repo = F.regexp_extract("label_path", r"/repo=(\w+)/", 1)
+    return tables.read_labels(spark, f"{path}/repo=*", repo).withColumnRenamed("file", "repo")
+
+
 @query
 def page_links(spark, d):
     return tables.page_links(tables.read_table(spark, d, "pages"))

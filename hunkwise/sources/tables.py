@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hunkwise.model import columns_besides
+from hunkwise.session import stored
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,16 +37,19 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
 LABEL_SCHEMA = "line long, category string, severity string, label string"
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
     """Label side files, a JSON array per source file: one row per label.
 
-    ``file`` is the name of the source file, which the side file's name extends.
+    ``file`` is the name of the source file, which the side file's name extends, or
+    ``name``, a column over the side file's path ``label_path``.
     """
-    base = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    base = F.substring_index(F.col("label_path"), "/", -1)
+    named = F.concat(F.regexp_replace(base, r"\.expected\.json$", ""), F.lit(".py"))
     return (
         spark.read.text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("label_path"), "value")
         .select(
-            F.concat(F.regexp_replace(base, r"\.expected\.json$", ""), F.lit(".py")).alias("file"),
+            (named if name is None else name).alias("file"),
             F.posexplode(F.from_json("value", f"array<struct<{_fields(LABEL_SCHEMA)}>>")).alias("label_seq", "l"),
         )
         .select("file", "label_seq", "l.*")
@@ -109,41 +115,104 @@ def review_uid(owner: Column, repo: Column, number: Column, created: Column) ->
     return F.substring(F.sha2(text, 256), 1, 12)
 
 
-def _unstored(df: DataFrame, path: str) -> DataFrame:
-    """Rows of reviews that the table at ``path`` does not hold yet."""
-    try:
-        stored = df.sparkSession.read.parquet(path).select("review_id").distinct()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return df
-    return df.join(stored, "review_id", "left_anti")
+STORED = ("reviews", "findings", "files")
+
+
+def _versions(spark: SparkSession, path: str):
+    """(file system, folder of version files, numbers of the versions)."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, folder, sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    numbers = _versions(spark, path)[2]
+    if not numbers:
+        return {"version": 0, "folders": {n: [] for n in STORED}, "schemas": {}}
+    number = numbers[-1] if version is None else version
+    text = spark.read.text(f"{path}/versions/{number:08d}.json", wholetext=True).first()[0]
+    return {"version": number, **json.loads(text)}
+
+
+def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make the next version visible, all tables at once; fails if another writer was first."""
+    fs, folder, _ = _versions(spark, path)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(folder)
+    own = fs_path(folder, f"{uuid.uuid4().hex}.tmp")
+    out = fs.create(own)
+    out.write(bytearray(json.dumps({k: manifest[k] for k in ("folders", "schemas")}).encode()))
+    out.close()
+    target = fs_path(folder, f"{manifest['version'] + 1:08d}.json")
+    if fs.exists(target) or not fs.rename(own, target):
+        fs.delete(own, False)
+        raise RuntimeError(f"version {manifest['version'] + 1} of {path} was written meanwhile")
 
 
 def write_reviews(reviews: DataFrame, findings: DataFrame, files: DataFrame, path: str) -> None:
-    """Add reviews to a store of three flat tables, split by day of creation.
+    """Add reviews to a store of three flat tables, split by day of creation, in one commit.
 
     Findings and diffs stay rows of their own instead of lists inside a review, so
-    listings never read them and no review can outgrow a row. A review that is stored
-    is not stored again, so a rerun adds nothing; reviews are written last, so one that
-    is listed is complete.
+    listings never read them and no review can outgrow a row. Every write makes new folders; a small
+    version file then names the folders of all tables, and readers follow the newest one, so
+    a write that breaks off leaves nothing visible. A review that is stored is not stored again:
+    ids are looked up once, in the days that are written, and a rerun adds nothing.
     """
-    day = F.to_date("created_at").alias("day")
-    days = reviews.select("review_id", day)
+    spark = reviews.sparkSession
+    manifest = _manifest(spark, path)
+    dated = reviews.select("*", F.to_date("created_at").alias("day"))
+    first, last = dated.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return
+    held = _table(spark, path, manifest, "reviews")
+    if held is not None:
+        dated = dated.join(held.where(F.col("day").between(first, last)).select("review_id").distinct(), "review_id", "left_anti")
+    new = stored(dated, "new-reviews")
+    if new.isEmpty():
+        return
+    days = new.select("review_id", "day")
     keyed = files.withColumnRenamed("diff_id", "review_id") if "diff_id" in files.columns else files
-    for name, df in (
-        ("findings", findings.join(days, "review_id")),
-        ("files", keyed.join(days, "review_id")),
-        ("reviews", reviews.select("*", day)),
-    ):
+    name = f"c{uuid.uuid4().hex}"
+    for table, df in (("findings", findings.join(days, "review_id")), ("files", keyed.join(days, "review_id")), ("reviews", new)):
         # Few files a day, however many tasks hold its rows.
-        new = _unstored(df, f"{path}/{name}").hint("rebalance", "day")
-        new.write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
+        df.hint("rebalance", "day").write.partitionBy("day").parquet(f"{path}/{table}/commit={name}")
+        manifest["folders"][table].append(name)
+        manifest["schemas"][table] = df.schema.json()
+    _commit(spark, path, manifest)
 
 
-def read_reviews(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The stored tables, typed: reviews, findings and files."""
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("reviews", "findings", "files")}
+def _table(spark: SparkSession, path: str, manifest: dict, table: str) -> DataFrame | None:
+    folders = [f"{path}/{table}/commit={name}" for name in manifest["folders"][table]]
+    if not folders:
+        return None
+    schema = T.StructType.fromJson(json.loads(manifest["schemas"][table]))
+    return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(*folders).drop("commit")
+
+
+def read_reviews(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The stored tables, typed: reviews, findings and files, all of the same version (default: the newest)."""
+    manifest = _manifest(spark, path, version)
+    found = {n: _table(spark, path, manifest, n) for n in STORED}
+    if None in found.values():
+        raise FileNotFoundError(f"no reviews are stored at {path}")
+    return found
+
+
+def page_of_reviews(reviews: DataFrame, size: int, after: tuple | None = None) -> DataFrame:
+    """The ``size`` newest reviews, or those that follow ``after``, the (created_at, review_id) of the last one seen.
+
+    Newest first, ties by id. The cursor's day reaches the store as a filter on its folders, so a page
+    far down does not read what was shown before it.
+    """
+    if after is not None:
+        moment, last = F.lit(after[0]).cast(reviews.schema["created_at"].dataType), F.lit(after[1])
+        older = (F.col("created_at") < moment) | ((F.col("created_at") == moment) & (F.col("review_id") > last))
+        reviews = reviews.where(older)
+        if "day" in reviews.columns:
+            reviews = reviews.where(F.col("day") <= F.to_date(moment))
+    return reviews.orderBy(F.desc("created_at"), "review_id").limit(size)
 
 
 # Fixed value: a link of a page.

@@ -27,6 +27,28 @@ def test_rate_limit(spark):
     assert got == {i: w for i, w in want.items() if i < 9000}
 
 
+def limited_by_hand(rows, n, window):
+    want, live = {}, {}
+    for key, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        kept = [t for t in live.get(key, []) if t > at - window]
+        want[i] = len(kept) < n
+        live[key] = kept + [at] * want[i]
+    return want
+
+
+def test_a_key_that_never_rests_runs_in_blocks(spark):
+    rng = random.Random(12)
+    rows = [("hot", k * 7 * S + rng.randrange(3), 10 * k + j) for k in range(600) for j in range(rng.randrange(4))]
+    # In step with the window, what a block began with is felt to the end: a round for every block.
+    rows += [("beat", k * 20 * S, 100_000 + k) for k in range(300)]
+    df = spark.createDataFrame(rows, "key string, at long, id long")
+    got = {r.id: r.allowed for r in ledger.rate_limit(df, "key", "at", "id", 2, 60, block_windows=3).collect()}
+    assert got == limited_by_hand(rows, 2, 60 * S)
+    ticks = df.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")).withColumn("block", ledger.block_of("at", 180 * S))
+    starts = ledger._block_starts(ticks, 2, 60 * S).where("key = 'hot'")
+    assert starts.count() > 20 and starts.where(F.size("start") > 0).count() > 10
+
+
 def test_quota(spark):
     df = spark.createDataFrame([("a", 100 * S, 1), ("a", 130 * S, 2), ("b", 100 * S, 3)], "key string, at long, id long")
     probes = spark.createDataFrame([("a", 160 * S), ("a", 159 * S), ("b", 90 * S), ("c", 1)], "key string, at long")

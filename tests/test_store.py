@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hunkwise.operators import evaluate, findings
@@ -26,6 +27,66 @@ def test_store_round_trip(spark):
     assert "PushedFilters: [IsNotNull(review_id), EqualTo(review_id,1)]" in plan
 
 
+def small_store(spark, ids, day="2024-05-01"):
+    reviews = spark.createDataFrame([(i, day) for i in ids], "review_id long, day string").select(
+        "review_id", F.to_timestamp("day").alias("created_at")
+    )
+    found = reviews.select("review_id", F.lit("bug").alias("category"))
+    return reviews, found, reviews.select(F.col("review_id").alias("diff_id"), F.lit("a.py").alias("filename"))
+
+
+def test_a_write_that_breaks_off_leaves_nothing_visible(spark, monkeypatch):
+    path = shared_dir(spark, "store")
+    with pytest.raises(FileNotFoundError):
+        tables.read_reviews(spark, path)
+    tables.write_reviews(*small_store(spark, [1, 2]), path)
+    real = tables._commit
+    monkeypatch.setattr(tables, "_commit", lambda *a: (_ for _ in ()).throw(OSError("broken")))
+    with pytest.raises(OSError, match="broken"):
+        tables.write_reviews(*small_store(spark, [2, 3]), path)
+    reviews, found, _ = small_store(spark, [3])
+    with pytest.raises(Exception, match="ABORTED|went wrong|USER_RAISED"):  # between the tables
+        tables.write_reviews(reviews, found, reviews.select(F.raise_error(F.lit("went wrong")).cast("long").alias("diff_id")), path)
+    assert {n: t.count() for n, t in tables.read_reviews(spark, path).items()} == {"reviews": 2, "findings": 2, "files": 2}
+    monkeypatch.setattr(tables, "_commit", real)
+    for _ in range(2):  # again, and again
+        tables.write_reviews(*small_store(spark, [2, 3]), path)
+    assert {n: t.count() for n, t in tables.read_reviews(spark, path).items()} == {"reviews": 3, "findings": 3, "files": 3}
+    assert tables.read_reviews(spark, path, version=1)["findings"].count() == 2
+
+
+def test_two_writers_do_not_overwrite_each_other(spark):
+    path = shared_dir(spark, "store")
+    tables.write_reviews(*small_store(spark, [1]), path)
+    old = tables._manifest(spark, path)
+    tables.write_reviews(*small_store(spark, [2]), path)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        tables._commit(spark, path, old)
+    assert tables.read_reviews(spark, path)["reviews"].count() == 2
+
+
+def test_ids_are_looked_up_in_the_days_written(spark, monkeypatch):
+    path = shared_dir(spark, "store")
+    for k, day in enumerate(("2024-05-01", "2024-05-02", "2024-06-01")):
+        tables.write_reviews(*small_store(spark, [k], day), path)
+    plans = []
+    real = tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    tables.write_reviews(*small_store(spark, [0, 9], "2024-05-01"), path)
+    assert "day#" in plans[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert tables.read_reviews(spark, path)["reviews"].count() == 4
+
+
+def test_pages_follow_each_other(spark):
+    rows = [(i, f"2024-05-{1 + i % 9:02d}") for i in range(25)]
+    reviews = spark.createDataFrame(rows, "review_id long, day string").select("review_id", F.to_timestamp("day").alias("created_at"), F.to_date("day").alias("day"))
+    seen, after = [], None
+    while page := tables.page_of_reviews(reviews, 10, after).collect():
+        seen += [r.review_id for r in page]
+        after = (page[-1].created_at, page[-1].review_id)
+    assert seen == [i for i, _ in sorted(rows, key=lambda r: (-int(r[1][-2:]), r[0]))]
+
+
 def test_read_diffs_and_labels(spark, tmp_path):
     (tmp_path / "p.diff").write_text("diff --git a/a b/a\n@@ -1 +1 @@\n+x\n")
     (tmp_path / "m.expected.json").write_text(
