@@ -931,6 +931,12 @@ ORACLE["tfidf_top_terms"] = f"""WITH t AS (
     w AS (SELECT doc_id, term, round(tf * idf, 6) AS weight FROM t JOIN i USING (term))
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term)::INT AS rank, term, weight
     FROM w QUALIFY rank <= 5"""
+ORACLE["exact_neighbours"] = f"""WITH s AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
+            round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score
+    FROM s QUALIFY rank <= {Q.NEIGHBOURS}"""
 ORACLE["top_k_similar"] = """WITH s AS (
         SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
             round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from hunkwise.model import TOP_K, columns_besides
 from hunkwise.operators.diff import is_added
 from hunkwise.functions.text import strip
+from hunkwise.session import stored
 
 DIMENSIONS = 256
 WORD = r"[\p{L}\p{N}_]+"
@@ -23,6 +25,8 @@ QUERY_MIN_CHARS = 10
 QUERY_TILE = 1_024
 CHUNK_TILE = 8_192
 SCORE_DIGITS = 6
+#: Vectors of queries up to this size are sent to every task.
+SENT_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -144,15 +148,17 @@ def top_k_similar(
     by: list[str] | None = None,
     of_query: tuple[str, ...] = (),
     of_chunk: tuple[str, ...] = (),
+    sent_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest chunks of each query by cosine: (query_id, rank, chunk_id, score).
 
     ``queries`` has query_id and vector, ``chunks`` chunk_id and vector; ``by`` names
     columns that both must share. ``of_query`` and ``of_chunk`` name further columns
-    that come along, which spares joining them again. Exact: matrix products over
-    tiles, each of which gives only its own best ``k`` per query. Both sides are cut
-    into tiles of bounded size within each group of ``by``, however large the group,
-    and every pair of tiles is one unit of work.
+    that come along, which spares joining them again. Exact both ways: queries whose
+    measured vectors fit ``sent_bytes`` are sent to the chunks, which stay where they are, and each
+    task gives its own best ``k`` per query; more queries than that, or groups, are matrix products over
+    tiles. Then both sides are cut into tiles of bounded size within each group of ``by``,
+    however large the group, and every pair of tiles is one unit of work.
     """
     q_names, c_names = ["query_id", *of_query], ["chunk_id", *of_chunk]
     out = T.StructType(
@@ -162,9 +168,47 @@ def top_k_similar(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    if not by and sent_bytes:
+        queries = stored(queries.select(*q_names, F.col("vector").cast("array<double>").alias("vector")), "queries")
+        if (queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0) <= sent_bytes:
+            return _rank(_sent_search(queries, chunks, k, q_names, c_names, out), k)
     return _rank(_tiled_search(queries, chunks, k, by or [], q_names, c_names, out), k)
 
 
+def _sent_search(
+    queries: DataFrame, chunks: DataFrame, k: int, q_names: list[str], c_names: list[str], out: T.StructType
+) -> DataFrame:
+    """Every task holds all queries and keeps their best ``k`` of the chunks that it reads."""
+    pick, unit_rows, hits = _best(k), _unit_rows(), _hits()
+    asked = queries.toArrow().combine_chunks()  # its size was checked
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        if not len(asked):
+            return
+        matrix = unit_rows(asked.column("vector").chunk(0))
+        best = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK_TILE):
+                held = batch.slice(lo, CHUNK_TILE)
+                ids, rows = held.column("chunk_id").to_numpy(zero_copy_only=False), unit_rows(held.column("vector"))
+                for at in range(0, len(asked), QUERY_TILE):
+                    q_at, c_at, score = pick(matrix[at : at + QUERY_TILE], ids, rows)
+                    new = pa.Table.from_batches([hits(asked, q_names, q_at + at, held, c_names, c_at, score)])
+                    new = new.append_column("__q", pa.array(q_at))
+                    both = pa.concat_tables([best[at], new]) if at in best else new
+                    both = both.sort_by([("__q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+                    q = both.column("__q").to_numpy()
+                    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0))
+                    best[at] = both.filter(pa.array(np.arange(len(q)) - start < k)).combine_chunks()
+        for table in best.values():
+            yield from table.drop_columns("__q").to_batches()
+
+    held = chunks.select(*c_names, F.col("vector").cast("array<double>").alias("vector"))
+    return held.mapInArrow(run, out)
+
+
 def _hits():
     """A function that puts the columns of found pairs together."""
 
@@ -304,3 +348,88 @@ def retrieve_context(
         .agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))).alias("parts"))
         .select("query_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n").alias("context"))
     )
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres of a partition of the space, unit length, and how many of them a query looks into."""
+
+    centres: list[list[float]]
+    probes: int
+
+
+def fit_cells(
+    vectors: DataFrame, key: str = "chunk_id", sample: int = 20_000, cells: int | None = None, recall: float = 0.95, k: int = 10
+) -> Cells:
+    """Cells for ``approximate_top_k``, fitted on at most ``sample`` vectors, those of the smallest hashes of ``key``.
+
+    Centres come from spherical k-means; ``cells`` defaults to the square root of the sample. The number of
+    probes is the smallest that finds ``recall`` of the ``k`` nearest of the sample's own vectors
+    (500 of them, among the sample). Vectors without structure need most cells; clustered ones few. Only
+    the fit is bounded: every row is put into a cell afterwards.
+    """
+    import numpy as np
+
+    chosen = vectors.select(F.col("vector").cast("array<double>")).where("vector is not null").orderBy(F.xxhash64(key), key)
+    rows = [r[0] for r in chosen.limit(sample).collect()]
+    if not rows:
+        return Cells([], 0)
+    m = _unit_matrix(np.array(rows, dtype=float))
+    count = min(len(m), cells or max(1, round(len(m) ** 0.5)))
+    rng = np.random.default_rng(17)
+    centres = m[rng.choice(len(m), count, replace=False)]
+    for _ in range(12):
+        own = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, m)
+        centres = np.where(np.bincount(own, minlength=count)[:, None] > 0, _unit_matrix(sums), centres)
+    own = (m @ centres.T).argmax(axis=1)
+    asked = m[: min(500, len(m))]
+    near = np.argsort(-(asked @ m.T), axis=1, kind="stable")[:, : min(k, len(m))]
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of every cell, for every query
+    needed = np.take_along_axis(place, own[near], axis=1)
+    found = [(needed < p).mean() for p in range(1, count + 1)]
+    return Cells(centres.tolist(), next(p for p, share in enumerate(found, 1) if share >= recall or p == count))
+
+
+def _unit_matrix(m):
+    import numpy as np
+
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _with_cells(df: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """``df`` with ``cell``, a row for each of the ``probes`` nearest centres of its vector."""
+    centres, unit_rows = cells.centres, _unit_rows()
+
+    def near(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        c = np.array(centres, dtype=float).reshape(len(centres), -1)
+        for batch in batches:
+            vectors = batch.column(batch.schema.get_field_index("vector"))
+            m = unit_rows(vectors)
+            order = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, probes), int)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=[*batch.schema.names, "__cells"]
+            )
+
+    typed = df.withColumn("vector", F.col("vector").cast("array<double>"))
+    schema = T.StructType([*typed.schema.fields, T.StructField("__cells", T.ArrayType(T.IntegerType()))])
+    return typed.mapInArrow(near, schema).withColumn("cell", F.explode("__cells")).drop("__cells")
+
+
+def approximate_top_k(
+    queries: DataFrame, chunks: DataFrame, cells: Cells, k: int = TOP_K, by: list[str] | None = None
+) -> DataFrame:
+    """``top_k_similar`` over the cells nearest to each query: the same columns and scores, some neighbours may lack.
+
+    For one large group. Every chunk lies in one cell, so no pair is compared twice, and what is found is ranked
+    by its exact score. With as many probes as cells the result is the exact one.
+    """
+    if not cells.centres:
+        return top_k_similar(queries, chunks, k, by)
+    asked, held = _with_cells(queries, cells, cells.probes), _with_cells(chunks, cells, 1)
+    return top_k_similar(asked, held, k, [*(by or []), "cell"])

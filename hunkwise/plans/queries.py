@@ -25,6 +25,7 @@ BYTES = 1_000
 TRUNCATED = "\n... [output truncated]"
 TURN_TOKENS = 1_500
 PAGE = 50
+NEIGHBOURS = 10
 FINDING = ["review_id", "file", "line_start", "line_end", "severity", "category", "explanation", "source"]
 
 
@@ -530,6 +531,25 @@ def top_k_similar(spark, d):
     )
 
 
+def vector_sides(spark, d):
+    """Vectors whose id is divisible by 100 as queries, and all vectors."""
+    vectors = tables.read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return asked, vectors.withColumnRenamed("vec_id", "chunk_id")
+
+
+@query
+def exact_neighbours(spark, d):
+    return search.top_k_similar(*vector_sides(spark, d), NEIGHBOURS)
+
+
+@query
+def approximate_neighbours(spark, d):
+    """The same by cells; every vector is in one, and scores are exact."""
+    asked, held = vector_sides(spark, d)
+    return search.approximate_top_k(asked, held, search.fit_cells(held), NEIGHBOURS)
+
+
 @query
 def text_search(spark, d):
     parts = chunks.chunk_keys(chunks.chunk_lines(S.documents(spark, d)))

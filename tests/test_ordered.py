@@ -202,12 +202,45 @@ def test_tiles_equal_brute_force(spark, monkeypatch):
             out |= {(q, i + 1, c) for i, (_, c) in enumerate(near[:3])}
         return out
 
-    for by in (["g"], None):
-        got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, chunks, 3, by).collect()}
+    for by, sent in ((["g"], 0), (None, 0), (None, 1 << 20)):
+        got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, chunks, 3, by, sent_bytes=sent).collect()}
         assert got == want(by)
     tied = chunks.withColumn("vector", F.array(F.lit(0.0), F.lit(1.0), *[F.lit(0.0)] * 4))
-    got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, tied, 3).collect()}
-    assert got == {(q, i + 1, i) for q in range(40) for i in range(3)}  # equal scores: the lowest ids
+    for sent in (0, 1 << 20):
+        got = {(r.query_id, r["rank"], r.chunk_id) for r in search.top_k_similar(queries, tied, 3, sent_bytes=sent).collect()}
+        assert got == {(q, i + 1, i) for q in range(40) for i in range(3)}  # equal scores: the lowest ids
+    assert search.top_k_similar(queries.limit(0), chunks).count() == 0
+
+
+def recall(exact, found):
+    want, got = ({(r.query_id, r.chunk_id) for r in df.collect()} for df in (exact, found))
+    return len(want & got) / len(want)
+
+
+def test_cells_find_nine_in_ten_of_all_rows(spark):
+    """Ids divisible by 100 against every row of a whole table, and of clustered vectors with few probes."""
+    from hunkwise.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    exact, found = QUERIES["exact_neighbours"](spark, folder), QUERIES["approximate_neighbours"](spark, folder)
+    assert recall(exact, found) >= 0.9
+    scores = {(r.query_id, r.chunk_id): r.score for r in exact.collect()}
+    assert all(scores.get((r.query_id, r.chunk_id), r.score) == r.score for r in found.collect())
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(40, 16))
+    v = middle[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 16))
+    chunks = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "chunk_id long, vector array<double>")
+    queries = chunks.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    cells = search.fit_cells(chunks, sample=1000)
+    assert cells.probes < len(cells.centres) / 3
+    assert recall(search.top_k_similar(queries, chunks, 10), search.approximate_top_k(queries, chunks, cells, 10)) >= 0.9
+    all_cells = search.Cells(cells.centres, len(cells.centres))
+    assert recall(search.top_k_similar(queries, chunks, 10), search.approximate_top_k(queries, chunks, all_cells, 10)) == 1
+    assert search._with_cells(chunks, cells, 1).count() == 3000
+    assert search.fit_cells(chunks.limit(0)) == search.Cells([], 0)
 
 
 def test_text_without_words(spark):
