@@ -11,6 +11,7 @@ A larger benchmark is joined by shuffling seeds; both ways give the same pairs.
 
 from __future__ import annotations
 
+import heapq
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,49 +64,81 @@ def seed_width(n_tokens: int, min_match: int) -> int:
     return min(n_tokens, min_match)
 
 
+def _runs_at(item: np.ndarray, doc: np.ndarray, width: int, starts: np.ndarray, order: np.ndarray, low: np.ndarray, count: np.ndarray):
+    """Maximal runs (length, item start, doc start) of few hits, walked along their diagonals."""
+    runs, covered = [], {}
+    for d, a, c in zip(starts.tolist(), low.tolist(), count.tolist(), strict=True):
+        for i in order[a : a + c].tolist():
+            if d + width <= covered.get(d - i, -1):
+                continue  # inside a run on this diagonal
+            m = min(len(doc) - d, len(item) - i)
+            unlike = np.flatnonzero(doc[d : d + m] != item[i : i + m])
+            n = int(unlike[0]) if len(unlike) else m
+            covered[d - i] = d + n
+            if n >= width:  # equal hashes of other words are no run
+                runs.append((n, i, d))
+    return [np.array(x, np.int64) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 3
+
+
+def _runs_everywhere(item: np.ndarray, doc: np.ndarray, width: int):
+    """The same for many hits: lengths for all places of the document, one word of the item at a time."""
+    found = []
+    after = np.zeros(len(doc) + 1, np.int64)  # run lengths from (i + 1, d)
+    for i in range(len(item) - 1, -1, -1):
+        here = np.where(doc == item[i], after[1:] + 1, 0)
+        begins = here >= width
+        if i:
+            begins[1:] &= doc[:-1] != item[i - 1]
+        d = np.flatnonzero(begins)
+        if len(d):
+            found.append((here[d], np.full(len(d), i), d))
+        after = np.append(here, 0)
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+
+
 def tile(item: np.ndarray, doc: np.ndarray, width: int, near: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc start, item start, length) of tiles of ``width`` or more.
 
     ``near``: starts of windows of the document that may match; others cannot begin a tile.
-    Ties in length go to the earliest place in the item, then in the document.
+    Ties in length go to the earliest place in the item, then in the document. Maximal runs wait
+    in order of their length; one that a tile has cut goes back with what is left of it, so texts of a few
+    words over and over cost what their runs cost, not what their pairs of places do.
     """
-    hashes = running_hashes(item, width)
-    places: dict[int, list[int]] = {}
-    for i, h in enumerate(hashes.tolist()):
-        places.setdefault(h, []).append(i)
-    window = running_hashes(doc, width)
-    starts = range(len(window)) if near is None else near.tolist()
-    hits = [(d, i) for d in starts for i in places.get(int(window[d]), ())]
+    hashes, window = running_hashes(item, width), running_hashes(doc, width)
+    order = np.argsort(hashes, kind="stable")
+    known = hashes[order]
+    starts = np.arange(len(window)) if near is None else near
+    low = np.searchsorted(known, window[starts], "left")
+    count = np.searchsorted(known, window[starts], "right") - low
+    if count.sum() <= 4 * len(starts) + len(item):
+        size, at_item, at_doc = _runs_at(item, doc, width, starts, order, low, count)
+    else:
+        size, at_item, at_doc = _runs_everywhere(item, doc, width)
+    first = np.lexsort((at_doc, at_item, -size))
+    size, at_item, at_doc = size[first], at_item[first], at_doc[first]
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
-    longest = len(item)
-    while hits and longest >= width:
-        # Maximal runs of unmarked equal tokens that begin at the hits still open.
-        runs, open_, covered = [], [], {}
-        for d, i in hits:
-            if not (free_doc[d : d + width].all() and free_item[i : i + width].all()):
-                continue
-            open_.append((d, i))
-            if d + width <= covered.get(d - i, -1):
-                continue  # inside a run on this diagonal
-            n = width
-            while d + n < len(doc) and i + n < len(item) and free_doc[d + n] and free_item[i + n] and doc[d + n] == item[i + n]:
-                n += 1
-            covered[d - i] = d + n
-            runs.append((-n, i, d))
-        hits = open_
-        if not runs:
-            break
-        runs.sort()
-        longest = -runs[0][0]
-        for n, i, d in runs:
-            n = -n
-            # A run cut by a longer tile waits for the next search, as a shorter one.
-            if n < longest or not (free_doc[d : d + n].all() and free_item[i : i + n].all()):
-                continue
+    cut: list[tuple[int, int, int]] = []  # what is left of runs, longest first
+    next_, left = 0, len(item)
+    while left >= width and (cut or next_ < len(size)):
+        whole = (-int(size[next_]), int(at_item[next_]), int(at_doc[next_])) if next_ < len(size) else None
+        if whole is not None and (not cut or whole <= cut[0]):
+            n, i, d = whole
+            next_ += 1
+        else:
+            n, i, d = heapq.heappop(cut)
+        n = -n
+        free = free_doc[d : d + n] & free_item[i : i + n]
+        if free.all():
             free_doc[d : d + n] = False
             free_item[i : i + n] = False
             tiles.append((d, i, n))
+            left -= n
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= width:
+                heapq.heappush(cut, (a - b, i + a, d + a))
     return sorted(tiles)
 
 

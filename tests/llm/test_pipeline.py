@@ -2,6 +2,7 @@ import collections
 import itertools
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -49,6 +50,24 @@ def test_tiles_are_those_of_the_plain_method():
         assert decontaminate.tile(item, doc, width) == tiles_by_hand(item.tolist(), doc.tolist(), width)
 
 
+def test_tiles_of_repeated_words():
+    """Runs found at hits and everywhere agree, and a text of one word is tiled at once."""
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        item, doc = (rng.integers(0, 2, rng.integers(1, n)).astype(np.uint64) for n in (16, 40))
+        width = int(rng.integers(1, 4))
+        known = decontaminate.running_hashes(item, width)
+        window, order = decontaminate.running_hashes(doc, width), np.argsort(known, kind="stable")
+        low = np.searchsorted(known[order], window, "left")
+        count = np.searchsorted(known[order], window, "right") - low
+        few = decontaminate._runs_at(item, doc, width, np.arange(len(window)), order, low, count)
+        many = decontaminate._runs_everywhere(item, doc, width)
+        assert sorted(zip(*few, strict=True)) == sorted(zip(*many, strict=True))
+    start = time.time()
+    assert decontaminate.tile(np.ones(100, np.uint64), np.ones(100_000, np.uint64), 5) == [(0, 0, 100)]
+    assert time.time() - start < 5
+
+
 ITEMS = [
     (1, "the quick brown fox jumps over the lazy dog near the old river bank, where nobody ever goes at night"),
     (2, "three little words"),
