@@ -755,8 +755,8 @@ oracle(
 oracle(
     "stored_page",
     "o",
-    f"""SELECT k AS review_id, 'o' || (c % 7) AS owner, 'r' || c AS repo, k AS pr_number, strftime(dt, '%Y-%m-%d') AS day
-    FROM o ORDER BY dt DESC, k LIMIT {Q.PAGE} OFFSET {Q.PAGE}""",
+    f"""SELECT k AS review_id, 'o' || (c % 7) AS owner, 'r' || c AS repo, k AS pr_number, strftime(date_trunc('year', dt), '%Y-%m-%d') AS day
+    FROM o ORDER BY day DESC, k LIMIT {Q.PAGE} OFFSET {Q.PAGE}""",
 )
 _SIDE = ", ".join(
     f"({t}, {i}, {l[0]}, {lit(l[1])}, {lit(l[2])}, {lit(l[3])})" for t, (_, ls) in enumerate(S.TEMPLATES) for i, l in enumerate(ls)
