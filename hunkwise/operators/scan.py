@@ -151,13 +151,11 @@ def redact(df: DataFrame, cols: Sequence[str], ruleset=R.REDACT_PLAIN) -> DataFr
 _NUMERIC = "(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)"
 
 
-def _kind(field: str) -> str:
-    """SQL for the type name of a field of ``x``; null where the field is absent."""
-    return f"schema_of_variant(try_variant_get(x, '$.{field}', 'variant'))"
-
-
-def _value(field: str, kind: str) -> str:
-    return f"try_variant_get(x, '$.{field}', '{kind}')"
+#: A submitted item, decoded once. Fields whose kind decides stay variants; one that cannot be cast is null.
+_ITEM = (
+    "struct<confidence: variant, explanation: variant, suggested_fix: variant, file: variant, "
+    "line_start: double, line_end: double, severity: string, category: string, reasoning_trace: string>"
+)
 
 
 def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -168,59 +166,42 @@ def confidence_gate(submissions: DataFrame, threshold: float = CONFIDENCE_THRESH
     list, or whose confidence is no number or whose texts are no strings is dropped
     alone; the others of its submission stay.
     """
-    typed = f"""transform(
-        raw,
-        x -> struct(
-            schema_of_variant(x) AS item_kind,
-            {_kind("confidence")} AS confidence_kind,
-            coalesce({_value("confidence", "double")}, {CONFIDENCE_DEFAULT}D) AS confidence,
-            {_kind("explanation")} AS explanation_kind,
-            {_kind("suggested_fix")} AS fix_kind,
-            {_kind("file")} AS file_kind,
-            {_value("file", "string")} AS named_file,
-            {_value("line_start", "double")} AS line_start,
-            {_value("line_end", "double")} AS line_end,
-            {_value("severity", "string")} AS severity,
-            {_value("category", "string")} AS category,
-            coalesce({_value("explanation", "string")}, '') AS explanation,
-            coalesce({_value("suggested_fix", "string")}, '') AS suggested_fix,
-            coalesce({_value("reasoning_trace", "string")}, '') AS reasoning_trace
-        ))"""
-
-    def no_text(kind: Column) -> Column:
-        return kind.isNotNull() & (kind != "STRING")
-
-    def broken(x: Column) -> Column:
-        no_number = x["confidence_kind"].isNotNull() & ~x["confidence_kind"].rlike(f"^{_NUMERIC}$")
-        no_object = F.coalesce(~x["item_kind"].startswith("OBJECT"), F.lit(True))
-        return no_object | no_number | no_text(x["explanation_kind"]) | no_text(x["fix_kind"])
-
-    # parsed, typed and exploded step by step, so that nothing is evaluated twice
-    raw = submissions.select(
+    def kind(c: str) -> Column:
+        return F.schema_of_variant(F.col(f"i.{c}"))
+
+    def no_text(c: str) -> Column:
+        return F.col(f"i.{c}").isNotNull() & (kind(c) != "STRING")
+
+    def text(c: str) -> Column:
+        return F.try_variant_get(F.col(f"i.{c}"), "$", "string")
+
+    items = submissions.select(
         "review_id",
         "file_no",
         "file",
-        F.expr("try_variant_get(try_parse_json(payload), '$.findings', 'array<variant>')").alias("raw"),
-    )
+        F.posexplode(F.expr("try_variant_get(try_parse_json(payload), '$.findings', 'array<variant>')")).alias("at", "x"),
+    ).select("review_id", "file_no", "file", "at", F.try_variant_get("x", "$", _ITEM).alias("i"))
+    no_number = F.col("i.confidence").isNotNull() & ~kind("confidence").rlike(f"^{_NUMERIC}$")
+    sure = F.coalesce(F.try_variant_get(F.col("i.confidence"), "$", "double"), F.lit(CONFIDENCE_DEFAULT))
+    # The plain tests come first: most items that go need no kind.
     items = (
-        raw.select("review_id", "file_no", "file", F.expr(typed).alias("items"))
+        items.where(F.col("i").isNotNull() & F.col("i.severity").isin(*SEVERITIES) & F.col("i.category").isin(*CATEGORIES))
+        .where(~no_number & ~no_text("explanation") & ~no_text("suggested_fix") & ~no_text("file"))
         .select(
             "review_id",
             "file_no",
-            "file",
-            F.posexplode("items").alias("at", "i"),
+            "at",
+            F.col("file").alias("own_file"),
+            text("file").alias("named_file"),
+            sure.alias("confidence"),
+            *[F.col(f"i.{c}").alias(c) for c in ("line_start", "line_end", "severity", "category")],
+            *[F.coalesce(text(c), F.lit("")).alias(c) for c in ("explanation", "suggested_fix")],
+            F.coalesce("i.reasoning_trace", F.lit("")).alias("reasoning_trace"),
         )
-        .where(~broken(F.col("i")))
-        .select("review_id", "file_no", "file", "at", "i.*", F.col("file").alias("own_file"))
     )
     whole = [F.col(c) == F.floor(c) for c in ("line_start", "line_end")]
     kept = items.where(
-        (F.col("confidence") >= threshold)
-        & whole[0]
-        & whole[1]
-        & F.col("severity").isin(*SEVERITIES)
-        & F.col("category").isin(*CATEGORIES)
-        & (F.col("file_kind").isNull() | (F.col("file_kind") == "STRING"))
+        (F.col("confidence") >= threshold) & whole[0] & whole[1]
     ).select(
         "review_id",
         "file_no",

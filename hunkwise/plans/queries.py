@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hunkwise.functions import rules as R
 from hunkwise.functions.text import truncate_utf8
-from hunkwise.model import columns_besides
 from hunkwise.operators import cases, chunks, diff, evaluate, findings, imports, ledger, scan, search
 from hunkwise.plans.review import evaluate_rules, review_changes
 from hunkwise.session import shared_dir
