@@ -50,7 +50,6 @@ def stream_rate_limit(
     n: int = REQUESTS_PER_WINDOW,
     window_s: int = WINDOW_SECONDS,
     delay_s: int = 86_400,
-    idle_s: int = 7 * 86_400,
 ) -> DataFrame:
     """Decide each event on arrival, and again when an earlier one of its key turns up.
 
@@ -60,7 +59,7 @@ def stream_rate_limit(
     the disorder, the result is the batch form's in whatever order files come.
 
     The state of a key is its events of the last ``delay_s`` and window, so a key holds what it sends
-    in that time; a key without events for ``idle_s`` of processing time leaves the state.
+    in that time and, at rest, its last ones: a watermark would let keys go, but drop late rows.
     A batch bounds the rest: size it with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
     """
     window, reach = window_s * MICROS, delay_s * MICROS
@@ -87,9 +86,6 @@ def stream_rate_limit(
 
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = [list(x) for x in state.get] if state.exists else [[], [], []]
         rows = pd.concat(list(parts)).sort_values([at, event_id])
         new = list(zip(rows[at].tolist(), rows[event_id].tolist(), strict=True))
@@ -104,7 +100,6 @@ def stream_rate_limit(
         allowed = decide_again(times, ids, before, start, n, window)
         first = bisect.bisect_right(times, times[-1] - reach - window) if times else 0
         state.update((times[first:], ids[first:], allowed[first:]))
-        state.setTimeoutDuration(idle_s * 1000)
         given = [(*r, ok, False) for r, ok in zip(merged[start:], allowed[start:], strict=True) if old.get(r) is not ok]
         given += [(*r, None, True) for r in late]
         if given:
@@ -115,7 +110,7 @@ def stream_rate_limit(
     return (
         events.select(key, at, event_id)
         .groupBy(key)
-        .applyInPandasWithState(decide, out, memory, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(decide, out, memory, "update", GroupStateTimeout.NoTimeout)
     )
 
 
