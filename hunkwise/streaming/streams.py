@@ -235,6 +235,9 @@ def stream_usage(usage: DataFrame, delay: str = "1 hour", idle_s: int = 7 * 86_4
                 return iter([])
             given = []
             for moment, seq, start, used in due:
+                if last and moment > last + idle_s * MICROS:
+                    epoch, tokens, calls = 0, 0, 0
+                last = moment
                 if start:
                     epoch, tokens, calls = epoch + 1, 0, 0
                 else:
