@@ -135,7 +135,7 @@ def lines_by_hand(rows, min_chars=20, min_docs=3):
 
 def test_lines_of_awkward_rows(spark):
     docs = documents(spark)
-    for bits in (1 << 12, 1 << 20):  # a filter that is full finds the same
+    for bits in (1 << 10, 1 << 12, 1 << 20):  # slices of a filter, and one that is sent, find the same
         got = line_dedup.drop_repeated_lines(docs, bits=bits)
         assert set(got.columns) == {*docs.columns, "n_dropped"}
         rows = [(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()]
@@ -153,6 +153,27 @@ def test_line_edges(spark):
     assert got[0] == f"{short}\n0" and got[2] == rows[2][1] and got[9] == "ä" * 20
 
 
+def test_lines_of_hot_keys_and_of_rows_without_id(spark):
+    """A line that all hold, ids that repeat or lack, rows that are equal: both ways are plain Python."""
+    rows = [(None if i % 3 == 0 else i // 2, f"a line that every document holds\nown line number {i % 40} of some\n{i}") for i in range(300)]
+    rows += rows[:50]
+    want = sorted(map(repr, lines_by_hand(rows)))
+    for bits in (1 << 11, 1 << 20):
+        got = line_dedup.drop_repeated_lines(documents(spark, rows).repartition(7), bits=bits).collect()
+        assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in got) == want
+
+
+def test_filters_grow_with_the_lines(spark, monkeypatch):
+    sent, sliced = [], []
+    plain, dealt = line_dedup.twice_filter, line_dedup._sliced_suspects
+    monkeypatch.setattr(line_dedup, "twice_filter", lambda d, t, bits, m: sent.append(bits) or plain(d, t, bits, m))
+    monkeypatch.setattr(line_dedup, "_sliced_suspects", lambda r, n, *a: sliced.append(n) or dealt(r, n, *a))
+    docs = documents(spark, [(i, "\n".join(f"a line of fair length {i} {k}" for k in range(100))) for i in range(100)])
+    assert line_dedup.lines_to_drop(docs).count() == 0
+    assert line_dedup.lines_to_drop(docs, bits=1 << 14).count() == 0
+    assert sent == [1 << 17] and sliced == [8]
+
+
 def test_classes_of_the_sample(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     got = QUERIES["op2_minhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()
