@@ -45,8 +45,8 @@ def assemble_case(files: DataFrame, context: DataFrame, findings: DataFrame) ->
         return F.when(F.coalesce(F.col(col), empty) != "", F.concat(F.lit(title), col)).otherwise("")
 
     return (
-        diff.join(context.select(*key, "context"), key, "left")
-        .join(items, key, "left")
+        diff.join(context.select(*key, "context").hint("merge"), key, "left")
+        .join(items.hint("merge"), key, "left")
         .select(
             *key,
             "filename",
