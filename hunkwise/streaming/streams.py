@@ -220,8 +220,9 @@ def stream_usage(usage: DataFrame, delay: str = "1 hour", idle_s: int = 7 * 86_4
             for part in rows:
                 columns = [part["at"].tolist(), part["seq"].tolist(), (part["kind"] == "start").tolist(), part["tokens"].tolist()]
                 self.waiting.appendList([tuple(x) for x in zip(*columns, strict=True)])
-                for second in sorted({a // MICROS + 1 for a in columns[0]}):
-                    self.handle.registerTimer(second * 1000)
+                # The earliest waiting row always has a timer; what is left when it fires gets the next one.
+                if columns[0]:
+                    self.handle.registerTimer((min(columns[0]) // MICROS + 1) * 1000)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -245,6 +246,7 @@ def stream_usage(usage: DataFrame, delay: str = "1 hour", idle_s: int = 7 * 86_4
                 given.append((key[0], seq, moment, epoch, tokens, calls))
             if len(due) < len(waiting):
                 self.waiting.put(waiting[len(due) :])
+                self.handle.registerTimer((waiting[len(due)][0] // MICROS + 1) * 1000)
             else:
                 self.waiting.clear()
             self.totals.update((epoch, tokens, calls, due[-1][0]))
