@@ -35,11 +35,12 @@ CHUNK = 1 << 20  # shingles hashed at a time
 
 @dataclass(frozen=True)
 class Search:
-    """``rounds`` of stars; ``estimate``: part of equal signature values a pair must show
+    """``rounds`` of stars, among the ``stars`` centres of a node that it shares most bands with; ``estimate``: part of equal signature values a pair must show
     to be confirmed, five deviations below the limit; ``block`` nodes of a bucket meet in a
     task at a time; ``fan`` members share one copy of a star's centre."""
 
     rounds: int = 3
+    stars: int = 4
     estimate: float = 0.62
     block: int = 1000
     fan: int = 500
@@ -475,15 +476,19 @@ def duplicate_groups(
         "dedup-sets",
     )
     comps = written(members.withColumn("comp", F.col("node")), "components")
-    # Stars: the lowest and highest node of a bucket are its centres.
+    # Stars: the lowest and highest node of a bucket are its centres. A node keeps the few that it shares most
+    # bands with: a star only saves work, as what it does not link is compared by buckets in the end.
+    best = Window.partitionBy("node").orderBy(F.desc("bands"), "centre")
     stars = written(
         buckets.select("node", F.explode(F.array("low", "high")).alias("centre"))
         .filter("node != centre")
         .groupBy("node", "centre")
-        .agg(F.count(F.lit(1)).alias("bands")),
+        .agg(F.count(F.lit(1)).alias("bands"))
+        .withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= search.stars)
+        .drop("place"),
         "dedup-stars",
     )
-    best = Window.partitionBy("node").orderBy(F.desc("bands"), "centre")
     for turn in range(search.rounds):
         open_ = (
             stars.join(comps.withColumnRenamed("comp", "own"), "node")
