@@ -142,21 +142,25 @@ def stream_upsert(path: str, keys: tuple[str, ...], buckets: int = 64) -> Callab
     nothing, so a batch that broke off is simply run again. At most ``buckets`` numbers reach the driver.
     """
 
+    def write(held: DataFrame, new: DataFrame) -> None:
+        merged = upsert_chunks(held, new, (*keys, "bucket")).hint("rebalance", "bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
     def merge(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        try:
+            held = rows.sparkSession.read.schema(new.schema).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # Nothing is held yet, so it does not matter which buckets have rows, and the batch is passed over once.
+            write(new.limit(0), new)
+            return
+        new = new.persist()
         try:
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-            if not touched:
-                return
-            try:
-                held = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-            except AnalysisException as missing:
-                if missing.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                held = new.limit(0)
-            merged = upsert_chunks(held, new, (*keys, "bucket")).hint("rebalance", "bucket")
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            if touched:
+                write(held.where(F.col("bucket").isin(touched)), new)
         finally:
             new.unpersist()
 

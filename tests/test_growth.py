@@ -2,12 +2,15 @@
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from hunkwise.llm import near_dedup
 from hunkwise.operators import cases, diff, findings
+from hunkwise.plans import queries
 from hunkwise.plans.review import review_changes
 from hunkwise.sources import samples, tables
+from hunkwise.streaming import streams
 
 NOTE = "review_id long, file string, line_end long, finding_seq long, severity string, category string, explanation string"
 HUNK = "diff_id long, file_no int, filename string, hunk_no int, old_start long, new_start long, lines array<string>"
@@ -71,3 +74,32 @@ def test_few_stars_lose_no_link(spark):
     for stars in (1, 4):
         rows = near_dedup.duplicate_groups(docs, near_dedup.Search(stars=stars)).collect()
         assert {r.doc_id: r.component_id for r in rows} == {**dict.fromkeys(range(40), 0), 40: 40}
+
+
+def test_a_stream_of_two_loads_cuts_each_file_once(spark, tmp_path, monkeypatch):
+    rows = spark.range(6).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("1995-01-01").cast("date").alias("o_orderdate")
+    )
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    seen = []
+    monkeypatch.setattr(queries.streams, "drain_into", lambda stream, *_: seen.append(stream))
+    monkeypatch.setattr(queries, "shared_dir", lambda *_: str(tmp_path / "orders.parquet"))
+    try:
+        queries.stream_upsert_chunks(spark, str(tmp_path))
+    except AnalysisException:  # there is no table to read back
+        pass
+    assert seen[0]._jdf.queryExecution().analyzed().toString().count("StreamingRelation") == 1
+
+
+def test_a_first_batch_is_written_without_being_kept(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "chunks")
+    merge = streams.stream_upsert(path, ("repo", "chunk_id"), buckets=3)
+    kept = []
+    whole = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: kept.append(1) or whole(df, *a))
+    form = "repo string, chunk_id string, arrival long, batch_no int"
+    merge(spark.createDataFrame([("r", f"c{i % 5}", i, 1) for i in range(20)] + [(None, "c1", 7, 1)], form), 0)
+    assert kept == []
+    merge(spark.createDataFrame([("r", "c2", 3, 2), ("s", "c2", 1, 2)], form), 1)
+    got = sorted((r.repo or "", r.chunk_id, r.arrival, r.batch_no) for r in spark.read.parquet(path).collect())
+    assert got == [("", "c1", 7, 1), ("r", "c0", 15, 1), ("r", "c1", 16, 1), ("r", "c2", 3, 2), ("r", "c3", 18, 1), ("r", "c4", 19, 1), ("s", "c2", 1, 2)]
