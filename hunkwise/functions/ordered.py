@@ -133,6 +133,30 @@ def running_sums(
     return joined.select(*df.columns, *[total(n) for n in sums])
 
 
+#: Keys are counted in so many slots; one over LARGE rows, and well over the mean, holds a key that is not left to one task.
+SLOTS, LARGE, ABOVE_MEAN = 65_536, 100_000, 16
+
+
+def ranks(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each key from 1 in ``order``, which must be unique within a key.
+
+    Keys of ordinary size meet in one shuffle by key and are numbered by a window, so what is joined by
+    the same keys need not be dealt again. Rows of slots with a large key go through ``running_sums``, which spreads
+    a key over tasks. The input is evaluated once, into a table; the slots over the limit, at most
+    SLOTS / ABOVE_MEAN numbers, reach the driver.
+    """
+    rows = stored(df, "ranked-rows")
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    limit = max(LARGE, rows.count() * ABOVE_MEAN // SLOTS)
+    large = [r["slot"] for r in rows.groupBy(slot.alias("slot")).count().where(F.col("count") > limit).collect()]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    if not large:
+        return rows.withColumn(name, place)
+    one = {name: F.lit(1).cast("long")}
+    spread = running_sums(rows.where(slot.isin(large)), keys, order, one)
+    return rows.where(~slot.isin(large)).withColumn(name, place).unionByName(spread)
+
+
 def same_names(left: str, right: str, names: list[str]) -> Column:
     cond = None
     for name in names:

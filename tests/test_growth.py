@@ -5,8 +5,9 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from hunkwise.functions import ordered
 from hunkwise.llm import near_dedup
-from hunkwise.operators import cases, diff, findings
+from hunkwise.operators import cases, diff, findings, scan
 from hunkwise.plans import queries
 from hunkwise.plans.review import review_changes
 from hunkwise.sources import samples, tables
@@ -103,3 +104,32 @@ def test_a_first_batch_is_written_without_being_kept(spark, tmp_path, monkeypatc
     merge(spark.createDataFrame([("r", "c2", 3, 2), ("s", "c2", 1, 2)], form), 1)
     got = sorted((r.repo or "", r.chunk_id, r.arrival, r.batch_no) for r in spark.read.parquet(path).collect())
     assert got == [("", "c1", 7, 1), ("r", "c0", 15, 1), ("r", "c1", 16, 1), ("r", "c2", 3, 2), ("r", "c3", 18, 1), ("r", "c4", 19, 1), ("s", "c2", 1, 2)]
+
+
+def found_rows(spark):
+    rows = [(k, i, s) for k, n in ((1, 9), (2, 2), (None, 4)) for i, s in zip(range(n), ["low", "critical", "high"] * 3)]
+    return spark.createDataFrame(rows, "review_id long, finding_seq long, severity string").withColumn("source", F.lit("rule"))
+
+
+def test_ordinary_reviews_are_ranked_in_one_shuffle(spark):
+    plan = plan_of(findings.rank_findings(found_rows(spark)))
+    assert "MapInArrow" not in plan and "rangepartitioning" not in plan and plan.count("Exchange") == 1
+
+
+def test_large_reviews_are_ranked_in_parts(spark, monkeypatch):
+    def ranked():
+        return sorted(((r.review_id or 0, r.finding_seq, r.rank) for r in findings.rank_findings(found_rows(spark)).collect()))
+
+    plain = ranked()
+    monkeypatch.setattr(ordered, "LARGE", 3)
+    monkeypatch.setattr(ordered, "ABOVE_MEAN", 1)
+    assert "__s_rank" in plan_of(findings.rank_findings(found_rows(spark)))
+    assert ranked() == plain
+    assert [x[2] for x in plain if x[0] == 2] == [2, 1] and len(plain) == 15
+
+
+def test_patterns_are_tried_once_for_a_line(spark):
+    hunk = spark.createDataFrame([(1, 0, "a.py", 0, 0, 1, ["+try:", "+except:", '+q = "x"'])], HUNK)
+    rows = scan.run_rules(hunk)
+    assert plan_of(rows).count("AKIA[0-9A-Z]{16}") == 1
+    assert [(r.line_start, r.category) for r in rows.collect()] == [(2, "bug")]
