@@ -133,3 +133,23 @@ def test_patterns_are_tried_once_for_a_line(spark):
     rows = scan.run_rules(hunk)
     assert plan_of(rows).count("AKIA[0-9A-Z]{16}") == 1
     assert [(r.line_start, r.category) for r in rows.collect()] == [(2, "bug")]
+
+
+def test_side_files_are_written_and_read_by_tasks(spark, tmp_path):
+    names = ["a/b", "c d", "x=1", None, "é"]
+    rows = spark.createDataFrame([(n, i, None if i == 3 else f"{n} {i}") for i in range(4) for n in names], "name string, at int, text string")
+    path = str(tmp_path / "side")
+    tables.write_side_files(rows, "name", "text", f"file://{path}", ("at",), parts=3)
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs)
+    assert sorted(os.path.basename(f) for f in files) == sorted(
+        ["name=a%2Fb", "name=c d", "name=x%3D1", "name=é", "name=__HIVE_DEFAULT_PARTITION__"]
+    )
+    for file in ("_SUCCESS", ".hidden"):
+        (tmp_path / "side" / file).write_text("no")
+    (tmp_path / "side" / "part=0" / "empty").write_text("")
+    back = tables.read_diffs(spark, path, deep=True)
+    assert "FileScan" not in plan_of(back)  # no list of files on the driver
+    got = sorted(map(tuple, back.collect()))
+    as_spark = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("_metadata.file_path", "value")
+    assert got == sorted(map(tuple, as_spark.collect()))
+    assert sorted(r[1] for r in got) == sorted(f"{n} 0\n{n} 1\n{n} 2\n\n" for n in names)
