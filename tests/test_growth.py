@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkwise.functions import ordered
 from hunkwise.llm import near_dedup
-from hunkwise.operators import cases, diff, findings, scan
+from hunkwise.operators import cases, diff, findings, scan, search
 from hunkwise.plans import queries
 from hunkwise.plans.review import review_changes
 from hunkwise.sources import samples, tables
@@ -153,3 +153,26 @@ def test_side_files_are_written_and_read_by_tasks(spark, tmp_path):
     as_spark = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("_metadata.file_path", "value")
     assert got == sorted(map(tuple, as_spark.collect()))
     assert sorted(r[1] for r in got) == sorted(f"{n} 0\n{n} 1\n{n} 2\n\n" for n in names)
+
+
+def test_contexts_are_found_in_one_shuffle(spark, monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    held = [(f"r{i % 3}", f"c{i:02d}", f"f{i}", " ".join(words[i % 7 : i % 7 + 1 + i % 5])) for i in range(40)]
+    asks = [(f"q{i}", None if i == 9 else f"r{i % 4}", f"f{i}", " ".join(words[i % 5 : i % 5 + 3])) for i in range(12)]
+    parts = search.vectorize_text(spark.createDataFrame(held, "repo string, chunk_id string, file string, content string"), "content")
+    asked = search.vectorize_text(spark.createDataFrame(asks, "query_id string, repo string, file string, query string"), "query")
+    idf = search.bucket_idf(parts, "vector")
+    assert idf == search.bucket_idf(parts, "content")
+    found = search.retrieve_context(asked, parts, by=["repo"], weights=idf)
+    assert "Window" not in plan_of(found) and plan_of(found).count("Exchange ") == 1
+    first = sorted(map(tuple, found.collect()))
+    assert [r[0] for r in first] == sorted(f"q{i}" for i in range(12) if i % 4 != 3 and i != 9)
+    sides = search.vectorize_text(asked, "query", idf), search.vectorize_text(parts, "content", idf)
+    assert sorted(map(tuple, search.retrieve_context(*sides, by=["repo"]).collect())) == first
+    twice = search.retrieve_context(asked.unionByName(asked.where("query_id = 'q1'")), parts, by=["repo"], weights=idf)
+    assert "Window" in plan_of(twice) and twice.count() == len(first)
+    for queries_of_tile, chunks_of_tile in ((2, 100), (2, 4)):
+        monkeypatch.setattr(search, "QUERY_TILE", queries_of_tile)
+        monkeypatch.setattr(search, "CHUNK_TILE", chunks_of_tile)
+        tiled = search.retrieve_context(asked, parts, by=["repo"], weights=idf)
+        assert ("Window" in plan_of(tiled)) == (chunks_of_tile < 13) and sorted(map(tuple, tiled.collect())) == first
