@@ -176,3 +176,12 @@ def test_contexts_are_found_in_one_shuffle(spark, monkeypatch):
         monkeypatch.setattr(search, "CHUNK_TILE", chunks_of_tile)
         tiled = search.retrieve_context(asked, parts, by=["repo"], weights=idf)
         assert ("Window" in plan_of(tiled)) == (chunks_of_tile < 13) and sorted(map(tuple, tiled.collect())) == first
+
+
+def test_hunks_and_questions_are_made_once(spark):
+    files = diff.parse_files(small_diffs(spark))
+    assert "Filter (size(" not in plan_of(diff.hunks_of(files))
+    assert plan_of(search.query_texts(files)).count("array_join(") == 1
+    made = files.select("hunks").unionByName(files.select(F.slice("hunks", 1, 0).alias("hunks"))).unionByName(files.select(F.lit(None).cast(files.schema["hunks"].dataType).alias("hunks")))
+    assert [r.hunk_no for r in diff.hunks_of(made).collect()] == [0]
+    assert [r["query"] for r in search.query_texts(files).collect()] == ["try: pass except:"]
